@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import linededup, mixing, packing, quality, simhash
+from rivulet.llm import linededup, mixing, packing, quality, simhash, warc
 from rivulet.llm.common import table
 
 
@@ -29,6 +29,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", hexed, "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    out = warc.read_archives(spark, path)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -39,4 +46,4 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op7_quality_rules, op8_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op6_warc, op7_quality_rules, op8_simhash, op10_mixing)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import linededup, mixing, packing, quality, simhash, warc
+from rivulet.llm import htmltext, linededup, mixing, packing, quality, simhash, warc
 from rivulet.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", hexed, "component_id")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -46,4 +51,4 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_line_dedup, op6_warc, op7_quality_rules, op8_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_line_dedup, op6_warc, op7_quality_rules, op8_simhash, op10_mixing)}

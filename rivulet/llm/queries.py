@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import htmltext, linededup, mixing, packing, quality, simhash, warc
+from rivulet.llm import htmltext, linededup, mixing, packing, quality, simhash, toxicity, warc
 from rivulet.llm.common import table
 
 
@@ -34,6 +34,15 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    lexicon = toxicity.train(docs, labels)
+    out = toxicity.scored(docs, lexicon).withColumn("held_out", held_out)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -51,4 +60,4 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_line_dedup, op6_warc, op7_quality_rules, op8_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_line_dedup, op5_toxicity, op6_warc, op7_quality_rules, op8_simhash, op10_mixing)}

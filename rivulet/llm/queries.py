@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import htmltext, linededup, mixing, packing, quality, simhash, toxicity, warc
+from rivulet.llm import htmltext, langid, linededup, mixing, packing, quality, simhash, toxicity, warc
 from rivulet.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -60,4 +65,4 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_line_dedup, op5_toxicity, op6_warc, op7_quality_rules, op8_simhash, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_line_dedup, op5_toxicity, op6_warc, op7_quality_rules, op8_simhash, op9_language, op10_mixing)}

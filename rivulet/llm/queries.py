@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import htmltext, langid, linededup, mixing, packing, quality, simhash, toxicity, warc
+from rivulet.llm import htmltext, langid, lattice, linededup, mixing, packing, quality, simhash, toxicity, warc
 from rivulet.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -65,4 +69,4 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_line_dedup, op5_toxicity, op6_warc, op7_quality_rules, op8_simhash, op9_language, op10_mixing)}
+    return {f.__name__: f for f in (op1_packing, op2_html_text, op3_line_dedup, op4_embedding_dedup, op5_toxicity, op6_warc, op7_quality_rules, op8_simhash, op9_language, op10_mixing)}

@@ -26,47 +26,63 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.where(F.col(a) != F.col(b)).groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.lit(1).alias("__one")).select("a", "b")
 
 
-def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], exhaustive: bool = True) -> DataFrame:
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows of keys that two nodes or more have, with the key's smallest and largest node."""
+    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi"))
+    return cut(unplaced(keyed, "key").join(unplaced(ends, "key"), "key").select("key", "node", "lo", "hi"))
+
+
+def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (node, component) for the nodes (longs) of `keyed` (key, node: longs) that link with another one.
 
     `verify` gets pairs (a, b) and returns those that link. First each node of a key is verified against the smallest
     and the largest node of the key, which joins nearly all of a group of copies at a cost in proportion to the rows.
-    Then, if `exhaustive`, the nodes that are still in another component than their key's smallest are verified
-    against all nodes of the key outside their own component, so no link between two rows of a key is lost. Else
-    keys get further leaders in rounds: the smallest node that is in no leader's component is verified against all
-    nodes of the key, until each node is a leader or in a leader's component. The rounds cost as many comparisons
-    as a key has components, not as it has pairs; two groups with different leaders stay apart where only nodes
-    that are no leaders would link them.
+    Then the nodes that are still in another component than their key's smallest are verified against all nodes of
+    the key outside their own component, so no link between two rows of a key is lost.
     """
-    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(F.col("lo") != F.col("hi"))
-    shared = cut(unplaced(keyed, "key").join(unplaced(ends, "key"), "key").select("key", "node", "lo", "hi"))
+    shared = _shared(keyed)
     stars = shared.select("node", F.explode(F.array("lo", "hi")).alias("other"))
     links = cut(verify(_pairs(stars, "node", "other")).select("a", "b"))
     labels = _named(components(links))
-    leaders = shared.groupBy("key").agg(F.min("lo").alias("leader")) if not exhaustive else None
-    if exhaustive:
-        placed = _placed(shared, labels)
-        mixed = placed.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("lo"), F.col("c"))).alias("main"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        mixed = mixed.where(F.col("c0") != F.col("c1")).select("key", "main")
-        rest = cut(unplaced(placed, "key").join(unplaced(mixed, "key"), "key").select("key", "node", "c", "main"))
-        left = unplaced(rest.where(F.col("c") != F.col("main")), "key").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-        right = unplaced(rest, "key").select(F.col("key").alias("k"), F.col("node").alias("y"), F.col("c").alias("cy"))
-        across = left.join(right, (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")))
-        more = cut(verify(_pairs(across, "x", "y")).select("a", "b"))
-        return components(links.union(more)) if more.limit(1).count() else labels.select(F.col("n").alias("node"), F.col("c").alias("component"))
-    open_ = shared.select("key", "node").where(F.col("key").isNotNull())
-    open_ = cut(unplaced(open_, "key").join(unplaced(leaders, "key").select(F.col("key").alias("k"), "leader"), F.col("key") == F.col("k")).select("key", "node", "leader"))
-    rows = shared.select("key", "node")
+    placed = _placed(shared, labels)
+    mixed = placed.groupBy("key").agg(F.max(F.when(F.col("node") == F.col("lo"), F.col("c"))).alias("main"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    mixed = mixed.where(F.col("c0") != F.col("c1")).select("key", "main")
+    rest = cut(unplaced(placed, "key").join(unplaced(mixed, "key"), "key").select("key", "node", "c", "main"))
+    left = unplaced(rest.where(F.col("c") != F.col("main")), "key").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+    right = unplaced(rest, "key").select(F.col("key").alias("k"), F.col("node").alias("y"), F.col("c").alias("cy"))
+    across = left.join(right, (F.col("key") == F.col("k")) & (F.col("cx") != F.col("cy")))
+    more = cut(verify(_pairs(across, "x", "y")).select("a", "b"))
+    return components(links.union(more)) if more.limit(1).count() else labels.select(F.col("n").alias("node"), F.col("c").alias("component"))
+
+
+def linked_by_leaders(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], leaders: int = 8) -> DataFrame:
+    """Rows (node, component) as from `linked`, for verifications that fail often among rows of a key.
+
+    In rounds, each key gets up to `leaders` leaders, spread by hash, from its nodes that are in no leader's component;
+    all nodes of the key outside a leader's component are verified against it. It ends when each node is a leader
+    or in a leader's component: the comparisons of a key follow its components, not its pairs, and keys of a few
+    nodes are compared whole. Two groups stay apart where only nodes that lead in none of their shared keys link them.
+    """
+    rows = cut(_shared(keyed).select("key", "node"))
+    labels = links = None
+    open_ = rows
     while True:
-        # Open rows are those in the component of no leader so far.
-        led = unplaced(open_, "leader").join(unplaced(labels, "n"), F.col("leader") == F.col("n"), "left").select("key", "node", F.coalesce("c", "leader").alias("cl"))
-        open_ = cut(_placed(led, labels).where(F.col("c") != F.col("cl")).select("key", "node"))
-        leaders = cut(open_.groupBy("key").agg(F.min("node").alias("leader")))
-        if not leaders.limit(1).count():
-            return labels.select(F.col("n").alias("node"), F.col("c").alias("component"))
-        by = unplaced(leaders, "key").select(F.col("key").alias("k"), "leader")
-        more = cut(verify(_pairs(unplaced(rows, "key").join(by, F.col("key") == F.col("k")), "node", "leader")).select("a", "b"))
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = _named(components(links))
-        open_ = unplaced(open_, "key").join(by, F.col("key") == F.col("k")).select("key", "node", "leader")
+        led = cut(open_.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("s")).agg(F.min("node").alias("leader")).select("key", "leader"))
+        if not led.limit(1).count():
+            break
+        by = unplaced(led, "key").select(F.col("key").alias("k"), "leader")
+        pairs = unplaced(rows, "key").join(by, F.col("key") == F.col("k")).select("node", "leader")
+        if links is not None:
+            pairs = pairs.join(links, (F.least("node", "leader") == F.col("a")) & (F.greatest("node", "leader") == F.col("b")), "left_anti")
+        more = cut(verify(_pairs(pairs, "node", "leader")).select("a", "b"))
+        if more.limit(1).count() or links is None:
+            links = more if links is None else links.union(more)
+            labels = cut(_named(components(links)))
+        # Nodes stay open that are no leader of this round and in no leader's component.
+        tops = unplaced(led, "leader").join(unplaced(labels, "n"), F.col("leader") == F.col("n"), "left").select(F.col("key").alias("k"), F.coalesce("c", "leader").alias("cl")).distinct()
+        left = _placed(open_, labels).select("key", "node", F.col("c").alias("own"))
+        # Keys and components are longs; each row meets a leader of its component at most once.
+        open_ = cut(unplaced(left, "key", "own").join(unplaced(tops, "k", "cl"), (F.col("key") == F.col("k")) & (F.col("own") == F.col("cl")), "left_anti").select("key", "node"))
+    if labels is None:
+        return rows.select("node", F.col("node").alias("component")).limit(0)
+    return labels.select(F.col("n").alias("node"), F.col("c").alias("component"))

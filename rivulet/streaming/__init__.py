@@ -1 +1 @@
-
+"""Continuous queries and materialized views on Structured Streaming."""

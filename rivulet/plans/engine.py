@@ -86,7 +86,8 @@ class Engine:
             elif name[0] in ("postgres", "mssql") and len(name) == 3:
                 frame = self._external(name[0], name[1], name[2], {})
             elif len(name) == 2:
-                frame = self.external(*name)
+                held = self._relations.get(".".join(name).lower())
+                frame = held() if held else self.external(*name)
             elif len(name) == 1:
                 frame = self.continuous.source(name[0]) if stream else self.relation(name[0])
             else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +21,11 @@ def session(app: str = "rivulet", master: str | None = None, **conf: str) -> Spa
         "spark.sql.parquet.filterPushdown": "true",
     }
     return builder.config(map=base | {k.replace("__", "."): str(v) for k, v in conf.items()}).getOrCreate()
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder that the cluster names; a local one only where none is set."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/rivulet-checkpoints")
+    return context.getCheckpointDir()

@@ -15,20 +15,18 @@ ENVELOPE = T.StructType([
     T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
 ])
 RECORD = [f.name for f in ENVELOPE if f.name != "offset"]
-NO_HEADERS = "map()"
-
 
 def _as(x: Column | str | None, default: Column) -> Column:
     return default if x is None else F.col(x) if isinstance(x, str) else x
 
 
-def to_stream(df: DataFrame, *, offset: Column | str, timestamp: Column | str, subject: Column | str = "", key: Column | str | None = None, payload: Column | str | None = None, headers: Column | str | None = None) -> DataFrame:
+def to_stream(df: DataFrame, *, offset: Column | str, timestamp: Column | str, subject: Column | str | None = None, key: Column | str | None = None, payload: Column | str | None = None, headers: Column | str | None = None) -> DataFrame:
     """A table as a stream: every argument is a column or a column's name. No payload: all columns as one JSON object."""
     empty = F.expr("cast(map() as map<string,string>)")
     return df.select(
         _as(offset, F.lit(None)).cast("bigint").alias("offset"),
         _as(timestamp, F.lit(None)).cast("timestamp").alias("timestamp"),
-        (F.lit("") if subject == "" and isinstance(subject, str) else _as(subject, F.lit(""))).cast("string").alias("subject"),
+        _as(subject, F.lit("")).cast("string").alias("subject"),
         _as(key, F.lit(None)).cast("string").alias("key"),
         _as(payload, F.to_json(F.struct(*df.columns))).cast("string").alias("payload"),
         _as(headers, empty).cast("map<string,string>").alias("headers"),

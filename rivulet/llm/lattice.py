@@ -124,8 +124,10 @@ def _counted(units: DataFrame, labels: DataFrame, least: float, block: int, fine
     """
     members = unplaced(units, "node").join(unplaced(labels, "n"), F.col("node") == F.col("n")).select("node", "c", "v")
     members = cut(members)
-    sizes = members.groupBy("c").agg(F.count("*").alias("m")).select(F.col("c").alias("k"), F.ceil(F.col("m") / block).alias("nb"))
-    dealt = unplaced(members, "c").join(unplaced(sizes, "k"), F.col("c") == F.col("k")).select("node", "c", "v", F.col("nb").cast("int").alias("nb"))
+    # Each size stands under several sub-keys, over which the members of a large component are spread.
+    sizes = members.groupBy("c").agg(F.count("*").alias("m")).select(F.col("c").alias("k"), F.ceil(F.col("m") / block).alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("s"))
+    same = (F.col("c") == F.col("k")) & (F.pmod(F.hash("node"), F.lit(16)) == F.col("s"))
+    dealt = members.join(sizes, same).select("node", "c", "v", F.col("nb").cast("int").alias("nb"))
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("node", "v", "c", "b", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"))
@@ -150,7 +152,7 @@ def _counted(units: DataFrame, labels: DataFrame, least: float, block: int, fine
 
 def near_duplicates(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95,
-    tables: int = 8, blocks: int = 2, probes: int = 4, scale: float = 0.75, seed: int = 1, block: int = 512,
+    tables: int = 10, blocks: int = 3, probes: int = 6, scale: float = 0.9, seed: int = 1, block: int = 512,
 ) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of `vectors`.
 

@@ -152,7 +152,7 @@ def _counted(units: DataFrame, labels: DataFrame, least: float, block: int, fine
 
 def near_duplicates(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95,
-    tables: int = 10, blocks: int = 3, probes: int = 6, scale: float = 0.9, seed: int = 1, block: int = 512,
+    tables: int = 12, blocks: int = 3, probes: int = 6, scale: float = 0.85, seed: int = 1, block: int = 128,
 ) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of `vectors`.
 

@@ -34,6 +34,7 @@ BOILERPLATE_WORDS = frozenset(
 MAIN_WORDS = frozenset("main article articlebody content-body post-body entry-content article-body post-content".split())
 
 _TAG = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]{0,4096}"|'[^']{0,4096}'){0,256}+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[!?/][^>]*>)""")
+_OPEN = re.compile(r"<(?:!--|/?[a-zA-Z]|[!?])")
 _ATTRIBUTE = re.compile(r"""(?i)(?<![^\s"'])(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements that stand inside a paragraph without ending its text.
 _SILENT = frozenset("script style template noscript".split())
@@ -106,9 +107,12 @@ def parse(html: str | None) -> Page:
     while at < n:
         m = _TAG.search(html, at) if at <= last else None
         if m is None:
-            text.append(html[at:])
+            # What opens here and never ends is no text.
+            cut_off = _OPEN.search(html, at)
+            rest = html[at : cut_off.start() if cut_off else n]
+            text.append(rest)
             if links[0]:
-                links[1] += n - at
+                links[1] += len(rest)
             break
         if m.start() > at:
             text.append(html[at : m.start()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from rivulet.llm.quality import BOILERPLATE
+
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -18,8 +20,49 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (f.key IS NOT NULL) AS n_dro
 FROM lines LEFT JOIN frequent f USING (key) GROUP BY doc_id, text
 """
 
-OP7 = None
+OP4 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+comp AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id, component_id = e.vec_id AS kept
+FROM embeddings e JOIN comp USING (vec_id)
+"""
+
+OP6 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM m
+"""
+
+_BOILERPLATE = "|".join(BOILERPLATE)
+OP7 = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+lines AS (
+  SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+         list_filter(string_split(text, chr(10)), lambda x: NOT (
+           (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 8 > length(x)
+           OR (length(x) - length(replace(x, '!', ''))) * 10 > length(x)
+           OR (len(regexp_split_to_array(x, ' [|•»·>] ')) - 1 >= 3 AND length(x) - length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) < 12 * (len(regexp_split_to_array(x, ' [|•»·>] ')) - 1))
+           OR regexp_matches(x, '(?i){_BOILERPLATE}'))) AS good
+  FROM t),
+win AS (SELECT doc_id, text, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) AS g FROM (SELECT doc_id, text, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM lines)),
+rep AS (SELECT doc_id, text, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, text, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, text, count(DISTINCT j) AS n FROM (SELECT doc_id, text, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY doc_id, text),
+s AS (
+  SELECT doc_id, text, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         length(array_to_string(good, chr(10))) AS kept_chars, length(text) AS chars
+  FROM lines)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+       n_words < 50 OR 100 * coalesce(cov.n, 0) > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * coalesce(cov.n, 0) > 50 * n_words) AND (chars = 0 OR kept_chars / chars >= 0.5) AS kept
+FROM s LEFT JOIN cov USING (doc_id, text)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in {"op3_line_dedup": OP3, "op7_quality_rules": OP7}.items() if v}
+    return {"op3_line_dedup": OP3, "op4_embedding_dedup": OP4, "op6_warc": OP6, "op7_quality_rules": OP7}

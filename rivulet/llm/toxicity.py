@@ -51,8 +51,8 @@ def fold(text: str | None) -> str:
     """Folded words with one blank before, between and after them; '' for texts without a word."""
     if not text:
         return ""
-    t = text if text.isascii() else unicodedata.normalize("NFKC", text).translate(_TABLE)
-    t = _MIXED.sub(_unmask, t.lower())
+    t = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().translate(_TABLE)
+    t = _MIXED.sub(_unmask, t)
     t = _BREAK.sub(" ", t).strip()
     return f" {t} " if t else ""
 

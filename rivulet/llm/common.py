@@ -61,9 +61,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there: lineage ends, lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared checkpoint folder and go on from there: lineage ends, lost executors cost nothing.
+
+    A checkpoint hands on the size that its plan was estimated at. Joins multiply estimates, so over the rounds of a
+    loop they become numbers of millions of digits, which the driver has no room for. The written rows are therefore
+    taken as a plan of their own, with no estimate; adaptive execution goes by the sizes that it finds.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    written = df._jdf.checkpoint(True)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def unplaced(df: DataFrame, *names: str) -> DataFrame:

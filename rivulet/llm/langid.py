@@ -50,14 +50,16 @@ class TextModel:
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", max_docs: int = 1000, size: int = 1 << 15, smooth: float = 0.5, seed: int = 5) -> TextModel:
-    """A text model from labelled documents: at most `max_docs` of each language, those of the smallest text hashes.
+    """A text model from labelled documents: of each language all, or if it has more a sample of about `max_docs`.
 
-    Their whole texts are counted on the executors; the driver gets at most `size` counts for each language. Rows
-    without a language or text are left out; a corpus without labels gives a model of no language.
+    The sample is the texts whose hashes lie in the share of all hashes that `max_docs` is of the language's rows, so one
+    count finds it and copies are in or out together (one of them is used). Whole texts are counted on the executors; the
+    driver gets at most `size` counts for each language. Rows without a language or text are left out; a corpus
+    without labels gives a model of no language.
     """
     usable = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    names = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
-    hashed = usable.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    rows = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    names = sorted(rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -70,12 +72,11 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", max_docs: int
                 yield pd.DataFrame({"lang": name, "bucket": at, "n": found[at]})
 
     counts = np.full((len(names), size), smooth)
-    # The bound on a language's sample is found first: the hash that its max_docs-th text has.
-    bounds = usable.sparkSession.createDataFrame(
-        [(n, (hashed.where(F.col("lang") == n).select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0])) for n in names], "l string, bound long"
-    ) if names else None
-    if bounds is not None:
-        sample = hashed.join(F.broadcast(bounds), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("bound"))).dropDuplicates(["lang", "h"])
+    if names:
+        share = F.coalesce(*[F.when(F.col("lang") == n, min(1.0, max_docs / rows[n])) for n in names])
+        # A hash's top 53 bits as a number between 0 and 1.
+        hashed = usable.withColumn("h", F.xxhash64("text", F.lit(seed)))
+        sample = hashed.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < share).dropDuplicates(["lang", "h"])
         for r in sample.select("lang", "text").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
             counts[names.index(r["lang"]), r["bucket"]] += r["n"]
     return TextModel(tuple(names), np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
@@ -92,7 +93,7 @@ def evidence(pages: DataFrame, model: TextModel, temper: float = 0.3, most: floa
         for batch in batches:
             declared, likely = [], []
             for h in batch["html"]:
-                found = h and (_DECLARED.search(h, 0, 1 << 14) or _META.search(h, 0, 1 << 14))
+                found = h and (_DECLARED.search(h) or _META.search(h))
                 declared.append(found[1].lower() if found else None)
                 out, _ = model.loglik("\n".join(main_blocks(parse(h), frozenset())))
                 likely.append(np.maximum(temper * (out - out.max(initial=-np.inf)), -most))

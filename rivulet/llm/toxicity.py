@@ -201,7 +201,7 @@ def fit_curve(lexicon: Lexicon, rows: list[tuple[float, int, int]]) -> Lexicon:
     if not rows or len({y for _, _, y in rows}) < 2:
         return lexicon
     best = None
-    for power in (0.05, 0.1, 0.25, 0.5, 0.75):
+    for power in (0.1, 0.25, 0.5):
         xs = [w / max(1.0, n / 100) ** power for w, n, _ in rows]
         ys = [y for _, _, y in rows]
         a, b = -3.0, 1.0
@@ -244,8 +244,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A lexicon and its curve from `labels` (doc_id, label) over `docs`.
 
     At most `max_rows` rows of either label are used, those with the smallest hashes of their ids, so a sample does
-    not depend on the order of rows. A sixth of them fits the curve, the rest the entries. The sample's ids are
-    broadcast: their number is bounded by `max_rows`.
+    not depend on the order of rows. They give the entries and then, by weight and length alone, the three numbers of
+    the curve. The sample's ids are broadcast: their number is bounded by `max_rows`.
     """
     usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("__id").isNotNull())
     mixed = F.xxhash64("__id", F.lit(seed))
@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = halves[0].union(halves[1]).dropDuplicates(["__id"])
     rows = docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("__d") == F.col("__id")).select("text", "label", "h")
     rows = rows.persist()
-    lexicon = learn(rows.where(F.pmod("h", F.lit(6)) != 0))
-    curve = scored(rows.where(F.pmod("h", F.lit(6)) == 0), lexicon).select("weight", "n_folded_words", "label").collect()
+    lexicon = learn(rows)
+    curve = scored(rows, lexicon).select("weight", "n_folded_words", "label").collect()
     rows.unpersist()
     return fit_curve(lexicon, [tuple(r) for r in curve])

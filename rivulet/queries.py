@@ -103,8 +103,8 @@ _sql("subject_part", "SELECT offset, SUBJECT_PART(subject, 2) AS p2, SUBJECT_PAR
      f"SELECT \"offset\", string_split(subject, '.')[2] AS p2, string_split(subject, '.')[3] AS p3, CAST(NULL AS VARCHAR) AS p9, CAST(NULL AS VARCHAR) AS p0 FROM {_EV}")
 _sql("subject_matches", "SELECT offset, SUBJECT_MATCHES(subject, 'events.*.u1') AS one, SUBJECT_MATCHES(subject, 'events.>') AS tail, SUBJECT_MATCHES(subject, 'events.*') AS short, SUBJECT_MATCHES(subject, '') AS every FROM events",
      f"SELECT \"offset\", regexp_full_match(subject, 'events\\.[^.]*\\.u1') AS one, starts_with(subject, 'events.') AS tail, regexp_full_match(subject, 'events\\.[^.]*') AS short, true AS every FROM {_EV}")
-_sql("safe_div_mod", "SELECT offset, ROUND(payload->>'value' / ((payload->>'k')::INT - 50), 6) AS d, (payload->>'k')::INT % ((payload->>'k')::INT - 50) AS m FROM events",
-     f"SELECT \"offset\", CASE WHEN k <> 50 THEN round(value / (k - 50), 6) END AS d, CASE WHEN k <> 50 THEN k % (k - 50) END AS m FROM {_EV}")
+_sql("safe_div_mod", "SELECT offset, payload->>'value' / ((payload->>'k')::INT - 50) AS d, (payload->>'k')::INT % ((payload->>'k')::INT - 50) AS m FROM events",
+     f"SELECT \"offset\", CASE WHEN k <> 50 THEN value / (k - 50) END AS d, CASE WHEN k <> 50 THEN k % (k - 50) END AS m FROM {_EV}")
 _sql("arithmetic", "SELECT offset, (payload->>'k')::INT * 3 + 2 - -1 AS a, -(payload->>'k')::INT AS b, 7 / 2 AS c FROM events", f"SELECT \"offset\", k * 3 + 2 + 1 AS a, -k AS b, 3.5::DOUBLE AS c FROM {_EV}")
 _sql("safe_cast", "SELECT offset, subject::INT AS none, (payload->>'k')::TEXT AS t, CAST(payload->>'value' AS DECIMAL(10,2)) AS v, '12.7'::INT AS bad, (payload->>'k')::BIGINT > 10 AS b FROM events",
      f"SELECT \"offset\", CAST(NULL AS BIGINT) AS none, CAST(k AS VARCHAR) AS t, value AS v, CAST(NULL AS BIGINT) AS bad, k > 10 AS b FROM {_EV}")

@@ -128,7 +128,7 @@ _sql("agg_distinct", "SELECT payload->>'type' AS type, COUNT(DISTINCT key) AS u,
      f"SELECT type, count(DISTINCT key) AS u, CAST(sum(DISTINCT k) AS BIGINT) AS s, round(avg(DISTINCT k), 6) AS a FROM {_EV} GROUP BY type")
 _sql("agg_global", "SELECT COUNT(*) AS n, ROUND(SUM(payload->>'value'), 2) AS s FROM events", f"SELECT count(*) AS n, round(sum(value), 2) AS s FROM {_EV}")
 _sql("agg_global_empty", "SELECT COUNT(*) AS n, SUM(payload->>'value') AS s, MIN(key) AS m FROM events WHERE key = 'nobody'", f"SELECT count(*) AS n, sum(value) AS s, min(key) AS m FROM {_EV} WHERE key = 'nobody'")
-_sql("agg_expressions", "SELECT key, ROUND(SUM(payload->>'value') / COUNT(*), 4) AS mean, MAX(offset) - MIN(offset) AS span FROM events GROUP BY key HAVING COUNT(*) > 2", f"SELECT key, round(sum(value) / count(*), 4) AS mean, max(\"offset\") - min(\"offset\") AS span FROM {_EV} GROUP BY key HAVING count(*) > 2")
+_sql("agg_expressions", "SELECT key, ROUND(SUM(payload->>'value') / COUNT(*), 9) AS mean, MAX(offset) - MIN(offset) AS span FROM events GROUP BY key HAVING COUNT(*) > 2", f"SELECT key, round(sum(value) / count(*), 9) AS mean, max(\"offset\") - min(\"offset\") AS span FROM {_EV} GROUP BY key HAVING count(*) > 2")
 _sql("group_by_alias_ordinal", "SELECT SUBJECT_PART(subject, 2) AS part, key, COUNT(*) AS n FROM events GROUP BY part, 2", f"SELECT string_split(subject, '.')[2] AS part, key, count(*) AS n FROM {_EV} GROUP BY 1, 2")
 _sql("select_distinct", "SELECT DISTINCT payload->>'type' AS type, key FROM events", f"SELECT DISTINCT type, key FROM {_EV}")
 # -- time -----------------------------------------------------------------------------------------------------------

@@ -28,9 +28,9 @@ def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten documents or more share; documents that lose every line go."""
-    out = linededup.drop_frequent_lines(docs.select(*COLUMNS), min_docs=10, min_chars=1)
-    return _with_length(out.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")))
+    """All documents, without the lines that ten documents or more share. Those that lose every line go on as empty
+    texts, which are copies of each other to the next stage."""
+    return _with_length(linededup.drop_frequent_lines(docs.select(*COLUMNS), min_docs=10, min_chars=1))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

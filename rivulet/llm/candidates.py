@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import cut, unplaced
@@ -55,34 +56,46 @@ def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     return components(links.union(more)) if more.limit(1).count() else labels.select(F.col("n").alias("node"), F.col("c").alias("component"))
 
 
-def linked_by_leaders(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], leaders: int = 8) -> DataFrame:
-    """Rows (node, component) as from `linked`, for verifications that fail often among rows of a key.
+def _release(frame: DataFrame) -> None:
+    """Let go of what earlier rounds shuffled: the driver frees it when it collects its garbage."""
+    gc.collect()
+    frame.sparkSession._jvm.System.gc()
 
-    In rounds, each key gets up to `leaders` leaders, spread by hash, from its nodes that are in no leader's component;
-    all nodes of the key outside a leader's component are verified against it. It ends when each node is a leader
-    or in a leader's component: the comparisons of a key follow its components, not its pairs, and keys of a few
-    nodes are compared whole. Two groups stay apart where only nodes that lead in none of their shared keys link them.
+
+def linked_by_leaders(
+    keyed: DataFrame, features: DataFrame, distance: Callable[[Column, Column], Column], far: int, verify: Callable[[DataFrame], DataFrame], best: int = 3, rounds: int = 2,
+) -> DataFrame:
+    """Rows (node, component) as from `linked`, for verifications that are dear and fail often among rows of a key.
+
+    In each round the smallest open node of a key is its leader. By `distance` between the `features` (node, f) of two
+    nodes, each node is verified against its `best` nearest leaders over all its keys, none farther than `far`. A node
+    stays open in a key while it is no leader there and in no leader's component. It ends when a round finds no
+    link, after `rounds` rounds at most. The work follows the rows of the keys, never their pairs; so in a large group
+    of which many pairs do not link, a link may be missed that no leader takes part in.
     """
-    rows = cut(_shared(keyed).select("key", "node"))
-    labels = links = None
-    open_ = rows
-    while True:
-        led = cut(open_.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("s")).agg(F.min("node").alias("leader")).select("key", "leader"))
-        if not led.limit(1).count():
+    rows = _shared(keyed).select("key", "node")
+    known = features.select(F.col("node").alias("m"), "f")
+    open_ = cut(unplaced(rows, "node").join(unplaced(known, "m"), F.col("node") == F.col("m")).select("key", "node", "f"))
+    every, links, labels = open_, None, None
+    for turn in range(rounds):
+        led = cut(open_.groupBy("key").agg(F.min(F.struct("node", "f")).alias("l")).select(F.col("key").alias("k"), F.col("l.node").alias("leader"), F.col("l.f").alias("lf")))
+        met = unplaced(open_, "key").join(unplaced(led, "k"), F.col("key") == F.col("k"))
+        d = F.when(F.col("node") == F.col("leader"), F.lit(far + 1)).otherwise(distance(F.col("f"), F.col("lf")))
+        near = met.select("node", "leader", d.alias("d")).groupBy("node", "leader").agg(F.min("d").alias("d")).where(F.col("d") <= far)
+        # A node has no more leaders than keys.
+        chosen = near.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "leader"))), 1, best).alias("few"))
+        more = cut(verify(_pairs(chosen.select("node", F.explode("few.leader").alias("leader")), "node", "leader")).select("a", "b"))
+        if not more.limit(1).count():
+            break
+        links = more if links is None else links.union(more)
+        labels = cut(_named(components(links)))
+        if turn == rounds - 1:
             break
-        by = unplaced(led, "key").select(F.col("key").alias("k"), "leader")
-        pairs = unplaced(rows, "key").join(by, F.col("key") == F.col("k")).select("node", "leader")
-        if links is not None:
-            pairs = pairs.join(links, (F.least("node", "leader") == F.col("a")) & (F.greatest("node", "leader") == F.col("b")), "left_anti")
-        more = cut(verify(_pairs(pairs, "node", "leader")).select("a", "b"))
-        if more.limit(1).count() or links is None:
-            links = more if links is None else links.union(more)
-            labels = cut(_named(components(links)))
-        # Nodes stay open that are no leader of this round and in no leader's component.
-        tops = unplaced(led, "leader").join(unplaced(labels, "n"), F.col("leader") == F.col("n"), "left").select(F.col("key").alias("k"), F.coalesce("c", "leader").alias("cl")).distinct()
-        left = _placed(open_, labels).select("key", "node", F.col("c").alias("own"))
-        # Keys and components are longs; each row meets a leader of its component at most once.
-        open_ = cut(unplaced(left, "key", "own").join(unplaced(tops, "k", "cl"), (F.col("key") == F.col("k")) & (F.col("own") == F.col("cl")), "left_anti").select("key", "node"))
+        tops = unplaced(led, "leader").join(unplaced(labels, "n"), F.col("leader") == F.col("n"), "left").select("k", F.coalesce("c", "leader").alias("cl"))
+        left = _placed(open_, labels).select("key", "node", "f", F.col("c").alias("own"))
+        stays = unplaced(left, "key").join(unplaced(tops, "k"), F.col("key") == F.col("k")).select("key", "node", "f", (F.col("own") != F.col("cl")).alias("stays"))
+        open_ = cut(stays).where("stays").drop("stays")
+        _release(open_)
     if labels is None:
-        return rows.select("node", F.col("node").alias("component")).limit(0)
+        return every.select("node", F.col("node").alias("component")).limit(0)
     return labels.select(F.col("n").alias("node"), F.col("c").alias("component"))

@@ -210,7 +210,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 def text_groups(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, least: float = 0.8,
-    tables: int = 3, far_bits: int = 16, few: int = 200_000,
+    tables: int = 3, far_bits: int = 12, few: int = 200_000,
 ) -> DataFrame:
     """Rows (doc_id, th, kept), one for each distinct pair of id and text hash: kept for one row of each group.
 
@@ -243,17 +243,12 @@ def text_groups(
                     rows, keys = candidate_keys(np.ascontiguousarray(fps[at : at + 1024, k]).view(np.uint64))
                     yield pd.DataFrame({"key": keys << 3 | k, "node": node[at : at + 1024][rows]})
 
-    prints_of = nodes.select(F.col("node").alias("m"), "fps")
+    def bits(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, _differing), F.lit(0), lambda s, x: s + x)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # Texts as similar as asked for differ in few bits of each fingerprint; pairs far beyond are none.
-        a = prints_of.select(F.col("m").alias("ma"), F.col("fps").alias("fa"))
-        b = prints_of.select(F.col("m").alias("mb"), F.col("fps").alias("fb"))
-        near = unplaced(pairs, "a").join(unplaced(a, "ma"), F.col("a") == F.col("ma")).select("a", "b", "fa")
-        near = unplaced(near, "b").join(unplaced(b, "mb"), F.col("b") == F.col("mb"))
-        bits = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = cut(near.where(bits <= far_bits * tables).select("a", "b"))
-        wanted = near.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+        pairs = cut(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         one = own.groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("r")).select(F.col("node").alias("m"), F.col("r.th").alias("rt"), F.col("r.doc_id").alias("rd"))
         picked = cut(unplaced(wanted, "n").join(unplaced(one, "m"), F.col("n") == F.col("m")).select("n", "rt", "rd"))
 
@@ -267,7 +262,7 @@ def text_groups(
         sets = cut(sets.select("n", shingles("text").alias("s")).groupBy("n").agg(F.first("s").alias("s")))
         a = sets.select(F.col("n").alias("na"), F.col("s").alias("sa"))
         b = sets.select(F.col("n").alias("nb"), F.col("s").alias("sb"))
-        both = unplaced(near, "a").join(unplaced(a, "na"), F.col("a") == F.col("na")).select("a", "b", "sa")
+        both = unplaced(pairs, "a").join(unplaced(a, "na"), F.col("a") == F.col("na")).select("a", "b", "sa")
         both = unplaced(both, "b").join(unplaced(b, "nb"), F.col("b") == F.col("nb"))
         shared = F.size(F.array_intersect("sa", "sb"))
         close = shared >= least * (F.size("sa") + F.size("sb") - shared)
@@ -275,7 +270,9 @@ def text_groups(
         able = F.least(F.size("sa"), F.size("sb")) >= least * F.greatest(F.size("sa"), F.size("sb"))
         return both.where(able & close).select("a", "b")
 
-    found = linked_by_leaders(nodes.mapInPandas(expand, "key long, node long"), verify)
+    # Texts as similar as asked for differ in few bits of each fingerprint; pairs far beyond are none.
+    features = nodes.withColumnRenamed("fps", "f")
+    found = linked_by_leaders(nodes.mapInPandas(expand, "key long, node long"), features, bits, far_bits * tables, verify)
     found = found.select(F.col("node").alias("n"), F.col("component").alias("c"))
     joined = unplaced(own.select("doc_id", "th", "node").distinct(), "node").join(unplaced(found, "n"), F.col("node") == F.col("n"), "left")
     grouped = cut(joined.select("doc_id", "th", F.coalesce("c", "node").alias("g")))

@@ -32,6 +32,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 _HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _TABLE = str.maketrans(HOMOGLYPHS) | _HIDDEN
 _MIXED = re.compile(r"[^\W_]*[013457-8@$!][\w@$!]*[^\W_]|[^\W\d_]+[013457-8@$!]+[\w@$!]*|[@$][^\W\d_]+")
+_FOREIGN = re.compile("[" + "".join(map(chr, _TABLE)) + "]")
+#: Where a word may be masked: a digit or sign before a word's character, or such a digit after a letter.
+_MASKED = re.compile(r"[013457-8@$!]\w|[^\W\d_][013457-8]")
 _BREAK = re.compile(r"[\W_]+")
 _PLAIN = re.compile(r"[^\W\d_]")
 
@@ -51,8 +54,15 @@ def fold(text: str | None) -> str:
     """Folded words with one blank before, between and after them; '' for texts without a word."""
     if not text:
         return ""
-    t = text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).lower().translate(_TABLE)
-    t = _MIXED.sub(_unmask, t)
+    t = text
+    if not text.isascii():
+        t = text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+    t = t.lower()
+    # Most texts need neither step; one look at the characters tells.
+    if _FOREIGN.search(t):
+        t = t.translate(_TABLE)
+    if _MASKED.search(t):
+        t = _MIXED.sub(_unmask, t)
     t = _BREAK.sub(" ", t).strip()
     return f" {t} " if t else ""
 

@@ -63,27 +63,36 @@ def _release(frame: DataFrame) -> None:
 
 
 def linked_by_leaders(
-    keyed: DataFrame, features: DataFrame, distance: Callable[[Column, Column], Column], far: int, verify: Callable[[DataFrame], DataFrame], best: int = 3, rounds: int = 2,
+    keyed: DataFrame, features: DataFrame, distance: Callable[[Column, Column], Column], far: int, verify: Callable[[DataFrame], DataFrame],
+    verify_groups: Callable[[DataFrame], DataFrame], best: int = 3, rounds: int = 2,
 ) -> DataFrame:
     """Rows (node, component) as from `linked`, for verifications that are dear and fail often among rows of a key.
 
-    In each round the smallest open node of a key is its leader. By `distance` between the `features` (node, f) of two
-    nodes, each node is verified against its `best` nearest leaders over all its keys, none farther than `far`. A node
-    stays open in a key while it is no leader there and in no leader's component. It ends when a round finds no
-    link, after `rounds` rounds at most. The work follows the rows of the keys, never their pairs; so in a large group
-    of which many pairs do not link, a link may be missed that no leader takes part in.
+    First `rounds` rounds of leaders join most of a group at a cost in proportion to the rows. In each round the smallest
+    open node of a key is its leader. By `distance` between the `features` (node, f) of two nodes, each node is verified
+    against its `best` nearest leaders over all its keys, none farther than `far`. A node stays open in a key while it
+    is no leader there and in no leader's component.
+
+    Then the rest is compared, so that no link between two nodes of a key within `far` is lost. Nodes with the nearest
+    and the smallest of their leaders within `far`, directly or over others, are a neighbourhood. `verify_groups` gets those that hold several components, as rows
+    (g, node, c, odd), and returns links (a, b) that join each two nodes of a g with different c that link; odd marks the
+    nodes outside the largest component, one of which each such pair has. Nodes of a key in different neighbourhoods
+    are listed in pairs where they are within `far`.
     """
     rows = _shared(keyed).select("key", "node")
     known = features.select(F.col("node").alias("m"), "f")
     open_ = cut(unplaced(rows, "node").join(unplaced(known, "m"), F.col("node") == F.col("m")).select("key", "node", "f"))
-    every, links, labels = open_, None, None
+    every, links, labels, edges = open_, None, None, None
     for turn in range(rounds):
         led = cut(open_.groupBy("key").agg(F.min(F.struct("node", "f")).alias("l")).select(F.col("key").alias("k"), F.col("l.node").alias("leader"), F.col("l.f").alias("lf")))
         met = unplaced(open_, "key").join(unplaced(led, "k"), F.col("key") == F.col("k"))
         d = F.when(F.col("node") == F.col("leader"), F.lit(far + 1)).otherwise(distance(F.col("f"), F.col("lf")))
         near = met.select("node", "leader", d.alias("d")).groupBy("node", "leader").agg(F.min("d").alias("d")).where(F.col("d") <= far)
         # A node has no more leaders than keys.
-        chosen = near.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "leader"))), 1, best).alias("few"))
+        chosen = near.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "leader"))), 1, best).alias("few"), F.min("leader").alias("top"))
+        chosen = cut(chosen)
+        ties = chosen.select("node", F.explode(F.array("top", F.col("few")[0]["leader"])).alias("leader"))
+        edges = ties if edges is None else edges.union(ties)
         more = cut(verify(_pairs(chosen.select("node", F.explode("few.leader").alias("leader")), "node", "leader")).select("a", "b"))
         if not more.limit(1).count():
             break
@@ -97,5 +106,35 @@ def linked_by_leaders(
         open_ = cut(stays).where("stays").drop("stays")
         _release(open_)
     if labels is None:
-        return every.select("node", F.col("node").alias("component")).limit(0)
+        labels = every.select(F.col("node").alias("n"), F.col("node").alias("c")).limit(0)
+    around = _named(components(edges, "node", "leader")).select("n", F.col("c").alias("g"))
+    placed = unplaced(_placed(every, labels).select("key", "node", "f", "c"), "node").join(unplaced(around, "n"), F.col("node") == F.col("n"), "left")
+    placed = cut(placed.select("key", "node", "f", "c", F.coalesce("g", "node").alias("g")))
+    _release(placed)
+    more = _inside(placed, verify_groups).union(_across(placed, distance, far, verify))
+    if more.limit(1).count():
+        links = more if links is None else links.union(more)
+        labels = _named(components(links))
     return labels.select(F.col("n").alias("node"), F.col("c").alias("component"))
+
+
+def _inside(placed: DataFrame, verify_groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between components of one neighbourhood."""
+    nodes = cut(placed.groupBy("node").agg(F.min("g").alias("g"), F.min("c").alias("c")))
+    sizes = nodes.groupBy("g", "c").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("g").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("n")).where(F.col("n") > 1)
+    mixed = mixed.select(F.col("g").alias("k"), "main")
+    members = unplaced(nodes, "g").join(unplaced(mixed, "k"), F.col("g") == F.col("k"))
+    return cut(verify_groups(members.select("g", "node", "c", (F.col("c") != F.col("main")).alias("odd"))).select("a", "b"))
+
+
+def _across(placed: DataFrame, distance: Callable[[Column, Column], Column], far: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between nodes of a key that are in different neighbourhoods: all outside the key's largest meet all."""
+    sizes = placed.groupBy("key", "g").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "g"))["g"].alias("main"), F.count("*").alias("n")).where(F.col("n") > 1)
+    mixed = mixed.select(F.col("key").alias("k"), "main")
+    rest = cut(unplaced(placed, "key").join(unplaced(mixed, "k"), F.col("key") == F.col("k")).select("key", "node", "f", "g", "main"))
+    left = unplaced(rest.where(F.col("g") != F.col("main")), "key").select("key", F.col("node").alias("x"), F.col("f").alias("fx"), F.col("g").alias("gx"))
+    right = unplaced(rest, "key").select(F.col("key").alias("k"), F.col("node").alias("y"), F.col("f").alias("fy"), F.col("g").alias("gy"))
+    near = (F.col("key") == F.col("k")) & (F.col("gx") != F.col("gy")) & (distance(F.col("fx"), F.col("fy")) <= far)
+    return cut(verify(_pairs(left.join(right, near).select("x", "y"), "x", "y")).select("a", "b"))

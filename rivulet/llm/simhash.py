@@ -208,6 +208,75 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, 7) for s in joined], np.uint64)).view(np.int64)
 
 
+def _shared_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """The sizes of the intersections of each sorted set of `x` with each of `y`."""
+    common = np.intersect1d(np.unique(np.concatenate(x)), np.unique(np.concatenate(y)), assume_unique=True)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, value = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.searchsorted(common, value)
+        known = at < len(common)
+        known[known] = common[at[known]] == value[known]
+        order = np.argsort(at[known], kind="stable")
+        return row[known][order], at[known][order]
+
+    (rx, px), (ry, py) = places(x), places(y)
+    out = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, len(common), columns):
+        a, b = np.zeros((len(x), columns), np.float32), np.zeros((len(y), columns), np.float32)
+        for m, r, p in ((a, rx, px), (b, ry, py)):
+            some = slice(*np.searchsorted(p, [at, at + columns]))
+            m[r[some], p[some] - at] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+def block_links(members: DataFrame, least: float, block: int = 256, held: int = 1 << 20) -> DataFrame:
+    """Links (a, b) that join each two nodes of a group, of different c, whose sets have a Jaccard similarity of `least`.
+
+    `members` has (g, node, c, odd, s: sorted hashes); each such pair has an odd node. Odd nodes and all nodes are dealt
+    into blocks of about `block` nodes and `held` hashes; each pair of blocks is a task of its own and yields a forest.
+    """
+
+    def parts(of: Column) -> Column:
+        n = F.greatest(F.ceil(F.sum(of) / block), F.ceil(F.sum(of * F.size("s")) / held))
+        return F.greatest(n, F.lit(1)).cast("int")
+
+    sizes = members.groupBy("g").agg(parts(F.col("odd").cast("long")).alias("nx"), parts(F.lit(1)).alias("ny"))
+    dealt = unplaced(members, "g").join(unplaced(sizes.withColumnRenamed("g", "k"), "k"), F.col("g") == F.col("k"))
+    own = F.xxhash64("node", F.lit(3))
+    x = dealt.where("odd").select("g", "node", "c", "s", F.lit(True).alias("left"), F.pmod(own, F.col("nx")).cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("by"))
+    y = dealt.select("g", "node", "c", "s", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(own, F.col("ny")).cast("int").alias("by"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        left = rows["left"].to_numpy(bool)
+        nx, ny = rows["node"].to_numpy(np.int64)[left], rows["node"].to_numpy(np.int64)[~left]
+        a, b = [], []
+        if len(nx) and len(ny):
+            sets, c = rows["s"].to_numpy(), rows["c"].to_numpy(np.int64)
+            sx, sy = list(sets[left]), list(sets[~left])
+            shared = _shared_counts(sx, sy)
+            size = np.array([len(s) for s in sx])[:, None] + np.array([len(s) for s in sy])[None, :]
+            parent: dict[int, int] = {}
+
+            def root(v: int) -> int:
+                while parent.setdefault(v, v) != v:
+                    parent[v] = parent[parent[v]]
+                    v = parent[v]
+                return v
+
+            for i, j in zip(*np.nonzero((shared >= least * (size - shared)) & (c[left][:, None] != c[~left][None, :])), strict=True):
+                u, v = root(int(nx[i])), root(int(ny[j]))
+                if u != v:
+                    parent[u] = v
+                    a.append(int(nx[i]))
+                    b.append(int(ny[j]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    # Rows placed by g alone would bring all blocks of a group to one task.
+    return unplaced(x.union(y), "g").groupBy("g", "bx", "by").applyInPandas(compare, "a long, b long")
+
+
 def text_groups(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, least: float = 0.8,
     tables: int = 3, far_bits: int = 12, few: int = 200_000,
@@ -246,9 +315,7 @@ def text_groups(
     def bits(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, _differing), F.lit(0), lambda s, x: s + x)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    def sets_of(wanted: DataFrame) -> DataFrame:
         one = own.groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("r")).select(F.col("node").alias("m"), F.col("r.th").alias("rt"), F.col("r.doc_id").alias("rd"))
         picked = cut(unplaced(wanted, "n").join(unplaced(one, "m"), F.col("n") == F.col("m")).select("n", "rt", "rd"))
 
@@ -259,7 +326,11 @@ def text_groups(
         # Few rows of 24 bytes are sent to the texts; many meet them by exchange.
         picked = F.broadcast(picked) if picked.count() <= few else unplaced(picked, "rt")
         sets = unplaced(base.select("doc_id", "th", "text"), "th").join(picked, (F.col("rt") == F.col("th")) & F.col("rd").eqNullSafe(F.col("doc_id")))
-        sets = cut(sets.select("n", shingles("text").alias("s")).groupBy("n").agg(F.first("s").alias("s")))
+        return cut(sets.select("n", shingles("text").alias("s")).groupBy("n").agg(F.first("s").alias("s")))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct())
         a = sets.select(F.col("n").alias("na"), F.col("s").alias("sa"))
         b = sets.select(F.col("n").alias("nb"), F.col("s").alias("sb"))
         both = unplaced(pairs, "a").join(unplaced(a, "na"), F.col("a") == F.col("na")).select("a", "b", "sa")
@@ -270,9 +341,15 @@ def text_groups(
         able = F.least(F.size("sa"), F.size("sb")) >= least * F.greatest(F.size("sa"), F.size("sb"))
         return both.where(able & close).select("a", "b")
 
+    def verify_groups(members: DataFrame) -> DataFrame:
+        members = cut(members)
+        sets = sets_of(members.select(F.col("node").alias("n")).distinct())
+        both = unplaced(members, "node").join(unplaced(sets, "n"), F.col("node") == F.col("n"))
+        return block_links(cut(both.select("g", "node", "c", "odd", "s")), least)
+
     # Texts as similar as asked for differ in few bits of each fingerprint; pairs far beyond are none.
     features = nodes.withColumnRenamed("fps", "f")
-    found = linked_by_leaders(nodes.mapInPandas(expand, "key long, node long"), features, bits, far_bits * tables, verify)
+    found = linked_by_leaders(nodes.mapInPandas(expand, "key long, node long"), features, bits, far_bits * tables, verify, verify_groups)
     found = found.select(F.col("node").alias("n"), F.col("component").alias("c"))
     joined = unplaced(own.select("doc_id", "th", "node").distinct(), "node").join(unplaced(found, "n"), F.col("node") == F.col("n"), "left")
     grouped = cut(joined.select("doc_id", "th", F.coalesce("c", "node").alias("g")))

@@ -1,8 +1,9 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
 A page is a series of tokens: tags with their path, and text blocks. Tokens with the same occurrence vector over
-the pages of a host form an equivalence class; large and frequent classes are the host's template, nested by the
-paths of their tags. What lies between template tokens are slots; the slot of the article is the main text.
+the pages of a host form an equivalence class; large and frequent classes are the host's template, as one set of
+tokens: they are not nested or checked for order. A page's marked article is its main text; only without one do
+slots, named by the template tags around them, decide.
 """
 
 from __future__ import annotations

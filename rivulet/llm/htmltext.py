@@ -163,7 +163,7 @@ def parse(html: str | None) -> Page:
         articles += name == "article"
         main = name in ("article", "main") or bool(words & MAIN_WORDS)
         furniture = here[2] or hidden or name in BOILERPLATE_TAGS or name == "header" and not here[3] or (bool(words & BOILERPLATE_WORDS) and name not in ("body", "html", "article", "main"))
-        container = max(here[3], 2 if name == "article" or main and "article" in words else 1) if main else here[3]
+        container = max(here[3], 3 if name == "main" else 2 if name == "article" or main and "article" in words else 1) if main else here[3]
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
             if end is None:
@@ -189,12 +189,17 @@ def main_blocks(page: Page, template: frozenset[int]) -> list[str]:
     """The blocks of the article's slots, in page order.
 
     Slots are named by the template tags around them. Furniture (by tag, class, id or role) is no article. With an
-    article or main element in the page its slots are taken whole, whatever the host repeats there. Otherwise text
+    article or main element in the page its slots are taken whole, whatever the host repeats there; a main element
+    keeps what stands in it beside an article. Otherwise text
     that the template repeats goes, and the slot stays that has most text outside links, with its sibling slots of
     the same parent.
     """
     blocks = [b for b in page.blocks if not b.furniture]
     if best := max((b.container for b in blocks), default=0):
+        if best == 3 and any(b.container == 2 for b in blocks):
+            # An article outside the main element competes with it by text outside links.
+            own_text = {k: sum(max(0, len(b.text) - 2 * b.link_chars) for b in blocks if b.container == k) for k in (3, 2)}
+            best = max(own_text, key=own_text.get)
         return [b.text for b in blocks if b.container == best]
     own = [b for b in blocks if text_token(b.text) not in template]
     weight: dict[int, int] = {}

@@ -33,6 +33,16 @@ def test_hostile_markup_is_read_in_one_pass(bad):
     htmltext.parse(bad)
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<main><h1>Head</h1><p>lead</p><article><p>card</p></article><div>body</div><nav>menu</nav></main><p>out</p>", ["Head", "lead", "card", "body"]),
+    ("<main><p>short</p></main><article><p>the longer text of the page</p></article>", ["the longer text of the page"]),
+    ("<article><p>card</p></article><main><p>the longer text of the page</p></main>", ["the longer text of the page"]),
+    ("<div class='main'><p>beside</p><article><p>text</p></article></div>", ["text"]),
+])
+def test_main_keeps_what_stands_beside_an_article(html, want):
+    assert htmltext.main_blocks(htmltext.parse(html), frozenset()) == want
+
+
 def pages(frame, rows):
     return frame(rows, "page_id long, url string, html string")
 

@@ -98,65 +98,3 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[k] for k in range(61)} == {0} and {got[k] for k in range(100, 160)} == {100} and got[300] == got[200] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def shingles(text):
-    w = (text or "").encode().lower().split()
-    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-
-
-def test_text_groups_against_brute_force(spark, rng):
-    vocabulary = [f"w{k}" for k in range(3000)]
-    texts = []
-    for _ in range(25):
-        words = [rng.choice(vocabulary) for _ in range(150)]
-        texts.append(" ".join(words))
-        for _ in range(rng.randrange(4)):
-            copy = list(words)
-            for _ in range(rng.randrange(0, 3)):
-                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
-            texts.append(" ".join(copy))
-    texts += ["", None, "  ", texts[0].upper(), "one two", "one  two"]
-    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, node string")
-    s = [shingles(t) for t in texts]
-    want = groups(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])])
-    expect = {min(k for k in range(len(texts)) if want[k] == g) for g in want}
-    out = simhash.drop_near_duplicates(docs)
-    assert {r["doc_id"] for r in out.collect()} == expect and out.columns == docs.columns
-
-
-def edited(rng, words, edits):
-    copy = list(words)
-    for at in rng.sample(range(0, len(copy), 5), edits):
-        copy[at] = f"new{rng.randrange(10**9)}"
-    return " ".join(copy)
-
-
-def test_edited_copies_that_only_their_original_links(spark, rng):
-    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
-    texts = [edited(rng, words, 6) for _ in range(500)] + [" ".join(words)]
-    s = [shingles(t) for t in texts]
-    assert all(len(x & s[-1]) >= 0.8 * len(x | s[-1]) for x in s)
-    assert sum(len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) for i in range(500) for j in range(i)) < 200
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()] == [0]
-
-
-def test_blocks_find_all_links_of_a_group(spark, rng):
-    words = [f"w{rng.randrange(3000)}" for _ in range(100)]
-    sets = [simhash.shingle_set(edited(rng, words, rng.randrange(1, 5)), 5) for _ in range(60)]
-    rows = [(k // 30, k, k if k % 30 > 9 else k // 30 * 30, k % 30 > 9, s.tolist()) for k, s in enumerate(sets)]
-    found = simhash.block_links(spark.createDataFrame(rows, "g long, node long, c long, odd boolean, s array<long>"), 0.8, block=7).collect()
-    ties = [(k, rows[k][2]) for k in range(60)]
-    close = [(i, j) for i in range(60) for j in range(i) if i // 30 == j // 30 and rows[i][2] != rows[j][2] and len(set(rows[i][4]) & set(rows[j][4])) >= 0.8 * len(set(rows[i][4]) | set(rows[j][4]))]
-    want, got = groups(60, ties + close), groups(60, ties + [(r["a"], r["b"]) for r in found])
-    assert close and {(r["a"], r["b"]) for r in found} <= {p for i, j in close for p in ((i, j), (j, i))}
-    assert all((want[i] == want[j]) == (got[i] == got[j]) for i in range(60) for j in range(i))
-
-
-def test_text_groups_edges(odd, no_documents, spark):
-    kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns
-    assert [r["doc_id"] for r in kept.where("text is null or trim(text) = ''").collect()] == [0]
-    assert kept.where("text = 'same same'").count() == 1 and kept.where("doc_id is null").count() == 1
-    assert simhash.drop_near_duplicates(no_documents).count() == 0

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import linededup, mixing, packing, quality, simhash
+from rivulet.llm import linededup, mixing, packing, quality, simhash_texts
 from rivulet.llm.common import ensure_checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles agree by 0.8 or more."""
-    return simhash.drop_near_duplicates(docs.select(*COLUMNS), width=5, least=0.8)
+    return simhash_texts.drop_near_duplicates(docs.select(*COLUMNS), width=5, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

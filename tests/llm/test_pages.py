@@ -60,9 +60,81 @@ def test_templates_are_classes_of_equal_vectors(frame):
     rows = [(k, f"http://h.example/{k}", f"<div class='a'><p>menu one</p></div><div class='b'><p>text {k}</p></div>") for k in range(6)]
     found = htmltext.templates(pages(frame, rows)).collect()
     assert len(found) == 1
-    template = set(found[0]["template"])
-    assert htmltext.text_token("menu one") in template and htmltext.text_token("text 1") not in template
+    template, page = set(found[0]["template"]), htmltext.parse(rows[1][2])
+    assert {t for e, t in page.tokens} - template == {htmltext.text_token(page.path[4], "text 1")}
     assert htmltext.templates(pages(frame, rows[:4])).count() == 0  # too few pages
+    assert htmltext.templates(pages(frame, [(k, "http://h.example/", rows[0][2]) for k in range(9)])).count() == 0  # one page, many times
+
+
+def host_of_many_kinds(rng, n):
+    """Pages with parts that stand always, mostly, seldom, often, and in two orders."""
+    for k in range(n):
+        one, two = "<h4>first</h4>", "<h5>second</h5>"
+        items = "".join(f"<li><a href='/{j}'>item {j}</a></li>" for j in range(rng.randrange(1, 4)))
+        yield (
+            f"<div class=top><p>Welcome</p></div><ul>{items}</ul><div class=swap>{one + two if rng.random() < 0.5 else two + one}</div>"
+            f"{'<div class=mostly><b>Mostly</b></div>' if k % 10 else ''}{'<div class=seldom><i>Seldom</i></div>' if k % 5 == 0 else ''}"
+            f"<div class=body><p>story {rng.random()}</p><p>more {rng.random()}</p></div>" + "<dl><dt>a</dt><dd>b</dd></dl>" * 2
+        )
+
+
+def test_templates_against_brute_force(frame, rng):
+    html = list(html_ for html_ in host_of_many_kinds(rng, 40))
+    rows = [(k, "http://h.example/", h) for k, h in enumerate(html)] + [(k, "http://h.example/", html[k]) for k in range(5)]
+    parsed = [htmltext.parse(h) for h in html]
+    tokens = sorted({t for p in parsed for _, t in p.tokens})
+    vector = {t: tuple(sum(u == t for _, u in p.tokens) for p in parsed) for t in tokens}
+    same = {}
+    for t in tokens:
+        if sum(map(bool, vector[t])) >= 24:
+            same.setdefault(vector[t], []).append(t)
+    want = set()
+    for ts in same.values():
+        for t in ts if len(ts) > 1 else []:
+            parent = next(p.path[e] for p in parsed for e, u in p.tokens if u == t)
+            mates = {u for u in ts if any(p.path[e] == parent and v == u for p in parsed for e, v in p.tokens)}
+            orders = set()
+            for p in parsed:
+                row = [u for e, u in p.tokens if u in mates and p.path[e] == parent]
+                orders |= {tuple(row[k : k + len(mates)]) for k in range(0, len(row), len(mates))}
+            if len(orders) == 1 and len(set(next(iter(orders)))) == len(mates):
+                want.add(t)
+    (found,) = htmltext.templates(pages(frame, rows)).collect()
+    assert set(found["template"]) == want
+    held = {b.text for p in parsed for b in p.blocks if htmltext.text_token(p.path[b.element], b.text) in want}
+    assert held == {"Welcome", "Mostly", "first", "second", "item 0", "a", "b"}
+    # The elements that swap are in no valid class, and neither is what is seldom.
+    tags = {p.path[e] for p in parsed for e, x in enumerate(htmltext.template_elements(p, want)) if x}
+    assert not tags & {p.path[b.element] for p in parsed for b in p.blocks if b.text in ("first", "second", "Seldom")}
+    got = {r["text"] for r in htmltext.extract(pages(frame, rows)).collect()}
+    assert all("story" in t and "more" in t and not any(x in t for x in held - {"a", "b"}) for t in got)
+
+
+def test_the_template_decides_inside_marked_articles(frame):
+    page = "<body><nav>menu</nav><article><p>Share this story</p><p>{}</p></article></body>"
+    rows = [(k, "http://h.example/", page.format(f"story {k} of this very host")) for k in range(8)] + [(k, "http://few.example/", page.format(f"story {k}")) for k in range(20, 23)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages(frame, rows)).collect()}
+    assert got[1] == "story 1 of this very host" and got[21] == "Share this story\n\nstory 21"
+
+
+def test_slots_of_links_go_by_the_host(frame):
+    page = "<div class=x>{}</div><div class=y><p>{}</p></div>"
+    links = "<p><a href=q>one link to read</a></p>"
+    rows = [(k, "http://h.example/", page.format(links.replace("one", str(k)) if k else "<p>plain words</p>", f"the text of page {k}")) for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages(frame, rows)).collect()}
+    assert got == {k: f"the text of page {k}" for k in range(8)}
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<div class='content has-sidebar'><p>x y</p></div>", ["x y"]), ("<div class='entry-content no-sidebar'><p>x y</p></div>", ["x y"]),
+    ("<div class='site header-fixed'><article><p>x y</p></article></div>", ["x y"]), ("<div class='search-results-page'><p>x y</p></div>", ["x y"]),
+    ("<form><nav><a>m</a></nav><article><p>x y</p></article></form>", ["x y"]), ("<div><div class=l><p>long long long</p></div><div class=r><p>short</p></div></div>", ["long long long", "short"]),
+    (f"<p title=\"{'x>' * 5000}\">hello</p>", ["hello"]), ("<a href=x>only link</a>", ["only link"]), ("<p title=\"never closed>text</p>", ["text"]),
+    ("<div class=search>find</div><div class=left-sidebar><p>latest</p></div><p>the text</p><div id=comment-list><p>I say</p></div>", ["the text"]),
+    ("<div>" * 200 + "deep" + "</div>" * 200, ["deep"]), ("<article><p>short</p></article><div class=comments><p>" + "talk " * 5 + "</p></div>", ["short"]),
+])
+def test_names_do_not_decide_alone(html, want):
+    assert htmltext.main_blocks(htmltext.parse(html), frozenset()) == want
 
 
 def test_copies_of_an_article_stay(frame):

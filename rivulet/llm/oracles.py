@@ -22,8 +22,9 @@ FROM lines LEFT JOIN frequent f USING (key) GROUP BY doc_id, text
 
 OP4 = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
-n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.95),
+fine AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM fine),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.95),
 reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
 comp AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id, component_id = e.vec_id AS kept
@@ -31,11 +32,11 @@ FROM embeddings e JOIN comp USING (vec_id)
 """
 
 OP6 = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
-m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
-SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first <> page_id THEN first END AS refers_to FROM m
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, url, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+m AS (SELECT *, n >= 1000 AND rank() OVER w > 1 AS again, first_value(page_id) OVER w AS first FROM d WINDOW w AS (PARTITION BY digest ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST))
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to FROM m
 """
 
 _BOILERPLATE = "|".join(BOILERPLATE)

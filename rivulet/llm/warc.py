@@ -1,8 +1,8 @@
 """WARC archives: records written by Spark's own committed writer and read back in sequence.
 
-Each record is one gzip member. Archives are files of the shared store, written through the text writer with the
-record separator set to an empty gzip member, so that a file is a plain series of gzip members, any Hadoop file
-system will do, and a lost task leaves nothing behind.
+Each record is one gzip member. Archives are files of the shared store, of bounded size. Each is one row of the text
+writer, whose end of line is set to a member of its own, a record that ends the archive: so a file is a plain series of
+gzip members with a record each, any Hadoop file system will do, and a lost task leaves nothing behind.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import ensure_checkpoint_dir, unplaced
+from rivulet.llm.common import ensure_checkpoint_dir, hash_pair, unplaced
 
-#: Fixed value: an empty gzip member.
-EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 _PIECE = 1 << 16
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -52,6 +50,17 @@ def record(kind: str, page_id: int | None, url: str | None, size: int, digest: b
     return packer.compress(raw) + packer.flush()
 
 
+def end_record() -> bytes:
+    """The member that ends each archive: a metadata record, the same for all of them."""
+    block = b"end-of-archive: true\r\n"
+    lines = [
+        "WARC/1.1", "WARC-Type: metadata", "WARC-Record-ID: <urn:archive:end>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/warc-fields",
+        f"WARC-Block-Digest: {_base32(hashlib.sha1(block).digest())}", f"Content-Length: {len(block)}",
+    ]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
+
+
 class WarcError(ValueError):
     """An archive whose gzip members, framing or digests do not hold."""
 
@@ -121,6 +130,8 @@ def read_record(pieces: Iterator[bytes]) -> Record | None:
     out = Record(headers, bytes(buffer[:length]))
     if (want := headers.get("warc-block-digest")) and want != _base32(hashlib.sha1(out.block).digest()):
         raise WarcError("the block does not match its digest")
+    if not headers.get("content-type", "").startswith("application/http"):
+        return out
     head, mark, out.payload = out.block.partition(b"\r\n\r\n")
     if not mark:
         raise WarcError("no end of the HTTP header")
@@ -140,27 +151,24 @@ def read_archive(data: bytes) -> Iterator[Record]:
             yield r
 
 
-def plan_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """Rows (page_id, refers_to) for the pages that repeat another page's payload.
-
-    Of records with equal payloads of at least `min_bytes` bytes that with the largest page_id is kept; null ids come
-    last. Payloads are compared by length and SHA-1; largest ids are taken by partial maxima, and the rows that meet
-    them again are exchanged on both sides of the join, so a payload repeated by a third of all pages is split.
-    """
-    size = F.octet_length("html")
-    narrow = pages.where(size >= min_bytes).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"))
-    h = narrow.select("page_id", F.xxhash64("digest").alias("h1"), F.xxhash64(F.lit(1), "digest").alias("h2"))
-    best = h.groupBy("h1", "h2").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    best = unplaced(best, "h1", "h2").select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "refers_to")
-    met = h.join(best, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")))
-    return met.where(F.col("page_id") != F.col("refers_to")).select("page_id", "refers_to").groupBy("page_id").agg(F.max("refers_to").alias("refers_to"))
+def first_records(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
+    """Rows (b1, b2, first): for each payload of at least `min_bytes` bytes that several rows hold, named by two hashes of
+    its SHA-1, the (page_id, url) that is its response: the largest, nulls being smallest. Partial maxima only."""
+    narrow = pages.where(F.octet_length("html") >= min_bytes).select("page_id", "url", F.sha1(F.encode("html", "UTF-8")).alias("digest"))
+    order = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", F.col("url").isNotNull().alias("placed"), "url")
+    best = narrow.groupBy(*hash_pair(F.col("digest"))).agg(F.max(order).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    return best.toDF("b1", "b2", "first", "n").drop("n")
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, per_file: int = 2000, file_bytes: int = 8 << 20) -> None:
     """Write a record for each row of `pages` (page_id, url, html; null html: an empty payload) as archives in `path`.
 
-    Payloads are packed before rows move, so what is shuffled is as small as the archives. Rows with a null page_id
-    are responses; rows that share a page_id are all written, each as the plan has it for that id.
+    Of rows with equal payloads of at least `min_bytes` bytes that with the largest page_id is a response, and the
+    others revisit it; a null id is smaller than any, among rows with one id the largest url counts, and exactly
+    repeated rows are repeated records. Which record a row becomes is decided by its payload, so rows that share an id
+    keep theirs. An archive has at most `per_file` records and about `file_bytes` bytes, of which a task holds one at a
+    time. Payloads are packed before rows move, so what is shuffled is as small as the archives; rows and first records
+    are both exchanged, so a payload that a third of all pages hold is split.
     """
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -169,22 +177,33 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, per_file:
                 for i, u, h in batch.iloc[at : at + 512].itertuples(index=False, name=None):
                     payload = b"" if h is None else h.encode("utf-8", "surrogatepass")
                     i, digest = _int(i), hashlib.sha1(payload).digest()
-                    rows.append((i, u, len(payload), digest, record("response", i, u, len(payload), digest, payload)))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "size", "digest", "member"])
+                    rows.append((i, u, len(payload), digest, digest.hex(), record("response", i, u, len(payload), digest, payload)))
+                out = pd.DataFrame(rows, columns=["page_id", "url", "size", "digest", "hex", "member"])
                 yield out.astype({"page_id": "Int64"})
 
-    @F.pandas_udf("binary")
-    def revisit(ids: pd.Series, urls: pd.Series, sizes: pd.Series, digests: pd.Series, refers: pd.Series) -> pd.Series:
-        rows = zip(ids, urls, sizes, digests, refers, strict=True)
-        return pd.Series([None if pd.isna(r) else record("revisit", _int(i), u, int(n), bytes(d), refers_to=int(r)) for i, u, n, d, r in rows], dtype=object)
-
-    ready = pages.select("page_id", "url", "html").mapInPandas(packed, "page_id long, url string, size long, digest binary, member binary")
-    known = plan_records(pages, min_bytes).select(F.col("page_id").alias("p"), "refers_to")
-    planned = ready.join(known, F.col("page_id") == F.col("p"), "left")
-    again = revisit("page_id", "url", "size", "digest", "refers_to")
-    out = planned.select(F.coalesce(again, "member").cast("string").alias("value"))
-    writer = out.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-    writer.option("maxRecordsPerFile", per_file).text(path)
+    def archives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for i, u, n, digest, member, again, refers in batch.itertuples(index=False, name=None):
+                member = record("revisit", _int(i), u, int(n), bytes(digest), refers_to=_int(refers)) if again else bytes(member)
+                held.append(member)
+                size += len(member)
+                if len(held) >= per_file or size >= file_bytes:
+                    yield pd.DataFrame({"value": [b"".join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"value": [b"".join(held)]})
+
+    h1, h2 = hash_pair(F.col("hex"))
+    ready = pages.select("page_id", "url", "html").mapInPandas(packed, "page_id long, url string, size long, digest binary, hex string, member binary").withColumns({"h1": h1, "h2": h2})
+    best = unplaced(first_records(pages, min_bytes), "b1", "b2")
+    planned = unplaced(ready, "h1", "h2").join(best, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left")
+    again = F.col("b1").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url")))
+    rows = planned.select("page_id", "url", "size", "digest", F.when(~again, F.col("member")).alias("member"), again.alias("again"), F.col("first.page_id").alias("refers"))
+    out = rows.mapInPandas(archives, "value binary").select(F.col("value").cast("string"))
+    writer = out.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", end_record().decode("latin-1"))
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 def _int(x) -> int | None:
@@ -194,8 +213,9 @@ def _int(x) -> int | None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Rows (page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of all archives in `path`.
 
-    Files are read whole by one task each, members in sequence. Digests are lower-case hex SHA-1; those of revisits
-    and their sizes come from the headers, as their payload is empty. A broken archive raises WarcError.
+    A file is read by one task, members in sequence; Spark hands it over whole, so archives should be of the size that
+    `write_archives` makes. Digests are lower-case hex SHA-1; those of revisits and their sizes come from the headers,
+    as their payload is empty. Other kinds of records are passed over. A broken archive raises WarcError.
     """
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -203,6 +223,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for r in read_archive(data):
                     h = r.headers
+                    if h.get("warc-type") not in ("response", "revisit"):
+                        continue
                     digest = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
                     rows.append((_page(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], _page(h.get("warc-refers-to")), r.http_length, digest, r.payload))
                     if len(rows) == 256:

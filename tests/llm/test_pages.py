@@ -170,18 +170,33 @@ def test_warc_round_trip(frame, tmp_path, spark):
         assert gzip.GzipFile(fileobj=io.BytesIO(f.read_bytes())).read().startswith(b"WARC/1.1\r\n")
 
 
-def test_warc_edges(frame, tmp_path, spark):
-    rows = [(None, "n", "a" * 2000), (None, "m", "a" * 2000), (4, "r", "b"), (4, "r", "b")]
+def test_warc_rows_that_share_ids_and_null_ids(frame, tmp_path, spark):
+    a, b, c = "a" * 2000, "b" * 2000, "c" * 2000
+    rows = [(5, "u", a), (9, "u", a), (5, "u", b), (None, "m", c), (None, "n", c), (None, None, c), (None, "x", a), (4, "r", "s"), (4, "r", "s"), (7, "p", b), (7, "q", b)]
     path = str(tmp_path / "w")
     warc.write_archives(pages(frame, rows), path)
-    got = warc.read_archives(spark, path).collect()
-    assert len(got) == 4 and {r["record_type"] for r in got} == {"response"}
+    got = sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.read_archives(spark, path).collect()), key=repr)
+    d = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    # A null url cannot be told from an empty one in an archive.
+    assert got == sorted([
+        (5, "u", "revisit", 9, d(a)), (9, "u", "response", None, d(a)), (None, "x", "revisit", 9, d(a)), (5, "u", "revisit", 7, d(b)), (7, "q", "response", None, d(b)), (7, "p", "revisit", 7, d(b)),
+        (None, "n", "response", None, d(c)), (None, "m", "revisit", None, d(c)), (None, "", "revisit", None, d(c)), (4, "r", "response", None, d("s")), (4, "r", "response", None, d("s")),
+    ], key=repr)
+    payloads = {bytes(r["payload"]) for r in warc.read_archives(spark, path).collect()}
+    assert payloads == {a.encode(), b.encode(), c.encode(), b"s", b""}
+    # Each member of a file holds a record.
+    for f in (tmp_path / "w").glob("part-*"):
+        kinds = [warc.read_record(m).headers["warc-type"] for m in warc.members(f.read_bytes())]
+        assert kinds[-1] == "metadata" and set(kinds[:-1]) <= {"response", "revisit"}
+
+
+def test_warc_edges(frame, tmp_path, spark):
     warc.write_archives(pages(frame, []), str(tmp_path / "none"))
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
 def archive(*payloads):
-    return b"".join(warc.record("response", k, "u", len(p), hashlib.sha1(p).digest(), p) + warc.EMPTY_MEMBER for k, p in enumerate(payloads))
+    return b"".join(warc.record("response", k, "u", len(p), hashlib.sha1(p).digest(), p) for k, p in enumerate(payloads)) + gzip.compress(b"")
 
 
 def test_warc_reader_refuses_what_is_broken():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rivulet.llm.quality import BOILERPLATE
+from rivulet.llm.quality import BOILERPLATE, LONG, NAVIGATION_LINE, TEASER
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -48,7 +48,9 @@ lines AS (
            (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 8 > length(x)
            OR (length(x) - length(replace(x, '!', ''))) * 10 > length(x)
            OR (len(regexp_split_to_array(x, ' [|•»·>] ')) - 1 >= 3 AND length(x) - length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) < 12 * (len(regexp_split_to_array(x, ' [|•»·>] ')) - 1))
-           OR regexp_matches(x, '(?i){_BOILERPLATE}'))) AS good
+           OR (length(x) <= 80 AND regexp_matches(x, '(?i){NAVIGATION_LINE}'))
+           OR (length(x) - length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) < 11 AND regexp_matches(x, '{TEASER}'))
+           OR (length(x) <= {LONG} AND regexp_matches(x, '(?i){_BOILERPLATE}')))) AS good
   FROM t),
 win AS (SELECT doc_id, text, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) AS g FROM (SELECT doc_id, text, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM lines)),
 rep AS (SELECT doc_id, text, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, text, g) AS n FROM win) WHERE n > 1),

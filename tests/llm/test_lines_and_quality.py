@@ -88,3 +88,19 @@ def test_line_dedup_and_quality_run_no_python(odd):
 def test_kept_digest(frame):
     out = linededup.drop_frequent_lines(frame([(1, "é\nb")], "doc_id long, text string")).select(F.sha2(F.encode("text", "UTF-8"), 256).alias("h"))
     assert out.first()["h"] == hashlib.sha256("é\nb".encode()).hexdigest()
+
+
+def test_line_rules(frame):
+    bad = [
+        "Home | About | News | Contact", "Home", " next page » ", "Startseite · Kontakt · Impressum", "Read more...", "ANTERIOR / SIGUIENTE", "The council met on Monday and…", "We value [...]",
+        "This site uses cookies to work", "Diese Seite verwendet Cookies.", "© 2020 Tous droits réservés", "TODOS LOS DERECHOS RESERVADOS", "#### $$$$", "Wow!!!!", "DATENSCHUTZERKLÄRUNG lesen",
+    ]
+    good = ["", "Home is where the heart is.", "He came back to the top of the hill", "All rights reserved " + "was the phrase that they wrote about at length, " * 10, "More news about the search", "One | two"]
+    out = frame([(k, x) for k, x in enumerate(bad + good)], "doc_id long, text string").withColumn("fine", quality.line_passes(F.col("text"))).orderBy("doc_id").collect()
+    assert [r["text"] for r in out if not r["fine"]] == bad
+
+
+def test_columns_with_clashing_names(frame):
+    docs = frame([(1, "a b c", "mine", 7)], "doc_id long, text string, kept string, n_words int")
+    (row,) = quality.assess(docs).collect()
+    assert row["kept"] is False and row["n_words"] == 3 and sorted(row.asDict()) == sorted([*docs.columns, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "kept_share", "base_failed"])

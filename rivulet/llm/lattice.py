@@ -82,10 +82,11 @@ def cells(unit: np.ndarray, tables: int, blocks: int, probes: int, scale: float,
 
 
 def unit_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Rows (node, vec_id, dim, v), one for each row: v has length 1, in double precision.
+    """Rows (row, node, vec_id, dim, v), one for each row: v has length 1, in double precision.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing: their node and v are
-    null. node is a hash of id and components: repeated rows are one node.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing: their row, node and v
+    are null. node is a hash of the components, so vectors of one direction are one node; row is a hash of id and
+    components, so repeated rows are one row.
     """
     x = F.transform(F.col(embedding), lambda y: y.cast("double"))
     fine = F.forall(F.col("x"), lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
@@ -96,7 +97,8 @@ def unit_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     out = out.withColumn("x", F.when(F.col("top") > 0, F.transform("x", lambda y: y / F.col("top"))))
     out = out.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, y: a + y * y)))
     out = out.withColumn("v", F.transform("x", lambda y: y / F.col("norm")))
-    return out.select(F.when(F.col("v").isNotNull(), F.xxhash64("vec_id", "v")).alias("node"), "vec_id", F.size("v").alias("dim"), "v")
+    known = F.col("v").isNotNull()
+    return out.select(F.when(known, F.xxhash64("vec_id", "v")).alias("row"), F.when(known, F.xxhash64("v")).alias("node"), "vec_id", F.size("v").alias("dim"), "v")
 
 
 def _cosine(a: Column, b: Column) -> Column:
@@ -117,23 +119,23 @@ def _keyed(units: DataFrame, tables: int, blocks: int, probes: int, scale: float
 
 
 def _counted(units: DataFrame, labels: DataFrame, least: float, block: int, fine: float) -> DataFrame:
-    """Rows (node, n_links) for nodes of components: links to other nodes, each pair of a component seen once.
+    """Rows (node, n_links) for nodes of components: links to rows of other nodes, each pair of a component seen once.
 
-    A component of m nodes is dealt into m / `block` blocks by hash; each pair of blocks is a group of its own with two
-    blocks of vectors at most, and only sums leave it.
+    `units` has (node, v, times). A component of m nodes is dealt into m / `block` blocks by hash; each pair of blocks is
+    a group of its own with two blocks of vectors at most, and only sums leave it.
     """
-    members = unplaced(units, "node").join(unplaced(labels, "n"), F.col("node") == F.col("n")).select("node", "c", "v")
+    members = unplaced(units, "node").join(unplaced(labels, "n"), F.col("node") == F.col("n")).select("node", "c", "v", "times")
     members = cut(members)
     # Each size stands under several sub-keys, over which the members of a large component are spread.
     sizes = members.groupBy("c").agg(F.count("*").alias("m")).select(F.col("c").alias("k"), F.ceil(F.col("m") / block).alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("s"))
     same = (F.col("c") == F.col("k")) & (F.pmod(F.hash("node"), F.lit(16)) == F.col("s"))
-    dealt = members.join(sizes, same).select("node", "c", "v", F.col("nb").cast("int").alias("nb"))
+    dealt = members.join(sizes, same).select("node", "c", "v", "times", F.col("nb").cast("int").alias("nb"))
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("node", "v", "c", "b", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"))
+    dealt = dealt.select("node", "v", "times", "c", "b", F.least("b", "o").alias("b1"), F.greatest("b", "o").alias("b2"))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        v, b, node = np.stack(rows["v"].to_numpy()), rows["b"].to_numpy(), rows["node"].to_numpy()
+        v, b, node, times = np.stack(rows["v"].to_numpy()), rows["b"].to_numpy(), rows["node"].to_numpy(), rows["times"].to_numpy(np.int64)
         first = b == rows["b1"].iloc[0]
         own = rows["b1"].iloc[0] == rows["b2"].iloc[0]
         x, y = v[first], v if own else v[~first]
@@ -144,28 +146,42 @@ def _counted(units: DataFrame, labels: DataFrame, least: float, block: int, fine
         hit = near >= least
         if own:
             np.fill_diagonal(hit, False)
-            return pd.DataFrame({"node": node, "n": hit.sum(axis=1).astype(np.int64)})
-        return pd.DataFrame({"node": np.concatenate([node[first], node[~first]]), "n": np.concatenate([hit.sum(axis=1), hit.sum(axis=0)]).astype(np.int64)})
+            return pd.DataFrame({"node": node, "n": hit @ times})
+        return pd.DataFrame({"node": np.concatenate([node[first], node[~first]]), "n": np.concatenate([hit @ times[~first], times[first] @ hit])})
 
     return dealt.groupBy("c", "b1", "b2").applyInPandas(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
+def lattice_of(n: int) -> tuple[int, int]:
+    """(tables, blocks) for n vectors: the cells get finer as there are more, so that strangers seldom meet.
+
+    Of random pairs at a cosine of 0.95 (64 and 256 dimensions), four blocks in 12 tables find 0.999, five in 20 tables
+    0.999; a fifth block divides the strangers that meet by a hundred and more.
+    """
+    finer = max(0, math.ceil(math.log(max(n, 1) / 1e6, 100)))
+    return 12 + 8 * finer, 4 + finer
+
+
 def near_duplicates(
     vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95,
-    tables: int = 12, blocks: int = 3, probes: int = 6, scale: float = 0.85, seed: int = 1, block: int = 128,
+    tables: int | None = None, blocks: int | None = None, probes: int = 6, scale: float = 0.85, seed: int = 1, block: int = 128,
 ) -> DataFrame:
-    """Rows (vec_id, n_links, component_id, kept), one for each row of `vectors`.
+    """Rows (vec_id, n_links, component_id, kept), one for each row of `vectors`; its other columns are not looked at.
 
     Vectors of equal dimension link at a cosine of `least` or more. component_id is the smallest vec_id reachable
     over links, the vector's own if it has none; kept says that it is its own. Vectors that may not link (see
-    `unit_vectors`) have no links. An exactly repeated row is the same vector, linked with its twin by the shared id
-    alone and counted once; rows that share an id with other components are vectors of their own. A null id never
-    names a component. The lattice finds the components; links are then counted over all pairs inside a component,
+    `unit_vectors`) have no links. Vectors of one direction are one node from the start, so a large group of them costs
+    no comparison. An exactly repeated row is the same vector, linked with its twin by the shared id alone and counted
+    once; rows that share an id with other components are vectors of their own. A null id never names a component. The
+    lattice (`lattice_of`, if not given) finds the components; links are then counted over all pairs inside a component,
     so a pair counts even if no cell holds both.
     """
     tagged = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"))
     rows = cut(unit_vectors(tagged))
-    units = cut(rows.where(F.col("node").isNotNull()).dropDuplicates(["node"]))
+    once = rows.where(F.col("row").isNotNull()).dropDuplicates(["row"])
+    units = cut(once.groupBy("node").agg(F.count("*").alias("times"), F.min("vec_id").alias("least_id"), F.first("dim").alias("dim"), F.first("v").alias("v")))
+    fitting = lattice_of(units.count())
+    tables, blocks = tables or fitting[0], blocks or fitting[1]
     fine = 1e-12
     compared = units.select(F.col("node").alias("n"), F.col("v"))
 
@@ -178,11 +194,12 @@ def near_duplicates(
 
     labels = cut(linked(_keyed(units, tables, blocks, probes, scale, seed), verify)).select(F.col("node").alias("n"), F.col("component").alias("c"))
     counts = _counted(units, labels, least, block, fine).select(F.col("node").alias("cn"), "n_links")
-    ids = unplaced(units.select("node", "vec_id"), "node").join(unplaced(labels, "n"), F.col("node") == F.col("n"))
-    named = ids.groupBy("c").agg(F.min("vec_id").alias("component_id"))
-    ids = unplaced(ids, "c").join(unplaced(named.withColumnRenamed("c", "k"), "k"), F.col("c") == F.col("k"))
-    known = unplaced(ids.select("node", "component_id"), "node").join(unplaced(counts, "cn"), F.col("node") == F.col("cn"), "left")
-    known = cut(known.select(F.col("node").alias("kn"), "component_id", "n_links"))
+    named = unplaced(units.select("node", "times", "least_id"), "node").join(unplaced(labels, "n"), F.col("node") == F.col("n"), "left")
+    named = named.select("node", "times", "least_id", F.coalesce("c", "node").alias("c"))
+    first = named.groupBy("c").agg(F.min("least_id").alias("component_id")).select(F.col("c").alias("k"), "component_id")
+    named = unplaced(named, "c").join(unplaced(first, "k"), F.col("c") == F.col("k"))
+    known = unplaced(named.select("node", "times", "component_id"), "node").join(unplaced(counts, "cn"), F.col("node") == F.col("cn"), "left")
+    known = cut(known.select(F.col("node").alias("kn"), "component_id", (F.col("times") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")))
     out = unplaced(rows.select("vec_id", "node"), "node").join(unplaced(known, "kn"), F.col("node") == F.col("kn"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -29,14 +29,18 @@ def unit(rng, d=64):
     return v / np.linalg.norm(v)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("n", [10, 10**9])
+def test_recall_at_the_threshold(n):
     rng = np.random.default_rng(5)
     a = np.stack([unit(rng) for _ in range(1500)])
     b = np.stack([near(rng, v, 0.9501) for v in a])
-    args = dict(tables=12, blocks=3, probes=6, scale=0.85, seed=1)
+    tables, blocks = lattice.lattice_of(n)
+    assert blocks == {10: 4, 10**9: 6}[n]
+    args = dict(tables=tables, blocks=blocks, probes=6, scale=0.85, seed=1)
     hit = np.zeros(len(a), bool)
     for (h, p), (g, q) in zip(lattice.cells(a, **args), lattice.cells(b, **args), strict=True):
-        hit |= (h == g) | (p == g[:, None]).any(1) | (q == h[:, None]).any(1)
+        x, y = np.column_stack([h, p]), np.column_stack([g, q])
+        hit |= (x[:, :, None] == y[:, None, :]).any((1, 2))
     assert hit.mean() >= 0.99
 
 
@@ -90,3 +94,14 @@ def test_edges(spark):
     assert lattice.near_duplicates(rows.limit(0)).count() == 0
     twice = lattice.near_duplicates(spark.createDataFrame([(1, [1.0, 2.0])] * 3, "vec_id long, embedding array<double>")).collect()
     assert [tuple(r) for r in twice] == [(1, 0, 1, True)] * 3
+
+
+def test_vectors_of_one_direction(spark):
+    rng = np.random.default_rng(5)
+    v = unit(rng)
+    data = [(k, [float(x) for x in v * 2 ** (k % 3)]) for k in range(300)] + [(1000 + k, [float(x) for x in near(rng, v, 0.99)]) for k in range(3)] + [(5, [float(x) for x in v])]
+    got = lattice.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>"), block=8)
+    rows = {r["vec_id"]: r for r in got.collect()}
+    assert {r["component_id"] for r in rows.values()} == {0}
+    # Rows of one id that are longer are vectors of the same direction, and so are the same row.
+    assert {rows[k]["n_links"] for k in range(300)} == {302}

@@ -40,7 +40,7 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out)
     lexicon = toxicity.train(docs, labels)
     out = toxicity.scored(docs, lexicon).withColumn("held_out", held_out)

@@ -58,3 +58,38 @@ def test_edges(odd, no_documents, frame):
     assert none == T.Lexicon({})
     one_sided = T.train(frame([(1, "a b", 1)], "doc_id long, text string, toxic int"), frame([(1, 1), (None, 1), (1, None)], "doc_id long, toxic int"))
     assert one_sided.weights == {}
+
+
+def test_matcher_against_brute_force(rng):
+    words = ["ab", "abc", "abcd", "b", "bc", "xab", "ab1", "c"]
+    for _ in range(300):
+        weights = {" " + rng.choice(words) + rng.choice(["", " "]): rng.uniform(-1, 5) for _ in range(4)}
+        exceptions = tuple({f" {rng.choice(words)} {rng.choice(words)} " if rng.random() < 0.5 else f" {rng.choice(words)} " for _ in range(2)})
+        folded = T.fold(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 12))))
+        spared = {i for p in exceptions for at in range(len(folded)) if folded.startswith(p, at) for i in range(at, at + len(p) - 1)}
+        want = 0.0
+        for at in range(len(folded)):
+            here = [w for e, w in weights.items() if folded.startswith(e, at)]
+            want += max(here) if here and at not in spared else 0.0
+        got, n = T.weigh(folded, T.Lexicon(weights, exceptions).automaton())
+        assert abs(got - want) < 1e-9 and n == len(folded.split())
+
+
+def test_exceptions_are_phrases_too(frame, rng):
+    docs = corpus(frame, rng)
+    more = frame([(20_000 + k, f"the vermin control of town {k} wrote " + " ".join(rng.choice(PLAIN) for _ in range(40)), 0) for k in range(8)], "doc_id long, text string, toxic int")
+    every = docs.union(more)
+    lexicon = T.train(every, every)
+    assert " vermin control " in lexicon.exceptions and " vermin " in lexicon.weights
+    weigh = lambda t: T.weigh(T.fold(t), lexicon.automaton())[0]
+    assert weigh("the vermin control came") == 0 and weigh("you vermin") > 3
+
+
+def test_training_does_not_depend_on_order(frame, rng):
+    docs = corpus(frame, rng)
+    assert T.train(docs.repartition(7), docs) == T.train(docs.coalesce(1), docs.orderBy("text"))
+
+
+def test_columns_with_clashing_names(frame):
+    out = T.scored(frame([(1, "word", "mine", 2)], "doc_id long, text string, score string, weight int"), T.Lexicon({" word ": 9.0}))
+    assert out.columns == ["doc_id", "text", "weight", "n_folded_words", "score"] and out.first()["weight"] == 9.0

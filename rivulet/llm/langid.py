@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import cut, unplaced
+from rivulet.llm.common import cut, let, unplaced
 from rivulet.llm.htmltext import host_of, main_blocks, parse
 
 _DECLARED = re.compile(r"(?is)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 _META = re.compile(r"(?is)<meta\b[^>]*?(?:http-equiv\s*=\s*[\"']?content-language|property\s*=\s*[\"']?og:locale)[\"']?[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 _BLOCK = 1 << 16
+#: Second levels under country codes that many owners share.
+SECOND_LEVELS = tuple("ac co com edu gob gouv gov go gv ind info ltd mil ne net nom nic or org plc sch".split())
 
 
 def trigrams(text: str, size: int) -> Iterator[np.ndarray]:
@@ -101,15 +103,19 @@ def evidence(pages: DataFrame, model: TextModel, temper: float = 0.3, most: floa
 
     name = host_of()
     labels = F.split(name, "\\.")
-    domain = F.concat_ws(".", F.slice(labels, F.greatest(F.lit(1), F.size(labels) - 1), F.lit(2)))
+    # Under a country's generic second level a domain has three labels.
+    second = F.get(labels, F.size(labels) - 2)
+    long = F.coalesce((F.length(F.element_at(labels, -1)) == 2) & second.isin(*SECOND_LEVELS), F.lit(False))
+    n = F.least(F.size(labels), F.when(long, 3).otherwise(2))
+    domain = F.concat_ws(".", F.slice(labels, F.size(labels) - n + 1, n))
     base = pages.select("page_id", "url", "html", F.xxhash64(name).alias("host"), F.xxhash64(domain).alias("domain"), F.element_at(labels, -1).alias("suffix"))
     return base.mapInPandas(show, "page_id long, url string, host long, domain long, suffix string, declared string, loglik array<double>")
 
 
 def _softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+    powers = lambda l: let(F.array_max(l), lambda top: F.transform(l, lambda x: F.exp(x - top)))
+    return let(logits, lambda l: let(powers(l), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s))))
 
 
 def identify(pages: DataFrame, model: TextModel, strength: float = 10.0, smooth: float = 1.0) -> DataFrame:
@@ -117,7 +123,7 @@ def identify(pages: DataFrame, model: TextModel, strength: float = 10.0, smooth:
 
     lang is the language with the largest posterior, text_lang that with the largest text likelihood; ties go to the
     first name. A page's own share is taken out of its host's counts. `strength` is the weight, in pages, of a
-    domain's prior in its hosts' and of the corpus's in the domains'. Empty and null pages go by what is declared and
+    domain's prior in its hosts' and of the corpus's in the domains'. Repeated rows are pages of their own. Empty and null pages go by what is declared and
     by their host. A model of no language gives null languages.
     """
     k = len(model.languages)
@@ -142,7 +148,9 @@ def identify(pages: DataFrame, model: TextModel, strength: float = 10.0, smooth:
     def likelihood(column: str) -> DataFrame:
         """For each value of `column`, log P(value | language) less that of a value never seen."""
         values = seen.where(F.col(column).isNotNull()).groupBy(column).agg(*sums)
-        return values.select(F.col(column).alias(f"_{column}"), F.array(*[F.log((F.col(f"s{i}") + smooth) / (total[i] + smooth * 20)) for i in range(k)]).alias(f"{column}_log"))
+        # Laplace's rule over the values that there are and one that was never seen.
+        n = values.count() + 1
+        return values.select(F.col(column).alias(f"_{column}"), F.array(*[F.log((F.col(f"s{i}") + smooth) / (total[i] + smooth * n)) for i in range(k)]).alias(f"{column}_log"))
 
     # Declared languages have three letters at most, suffixes are the last labels of names; both tables are small, yet
     # joined as any other, with both sides exchanged, unless found small enough at run time.

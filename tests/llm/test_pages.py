@@ -3,6 +3,7 @@ import hashlib
 import io
 import zlib
 
+import numpy as np
 import pytest
 
 from rivulet.llm import htmltext, langid, warc
@@ -248,3 +249,39 @@ def test_language_edges(frame):
     assert [r["lang"] for r in langid.identify(pages(frame, [(1, "u", "<p>x")]), nothing).collect()] == [None]
     model = langid.train(frame([(1, "abc def", "en")], "doc_id long, text string, lang string"))
     assert langid.identify(pages(frame, []), model).count() == 0
+
+
+def test_fusion_against_plain_python(frame, rng):
+    docs = frame([(k, " ".join(rng.sample(t.split(), 8)), lang) for lang, t in LANGUAGES.items() for k in range(10)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    names = list(model.languages)
+    hosts = ["a.shop.co.uk", "b.shop.co.uk", "c.other.co.uk", "www.laden.de", "m.laden.de", "x"]
+    rows = []
+    for k in range(40):
+        lang = rng.choice(list(LANGUAGES))
+        declared = f' lang="{rng.choice([lang, lang, "en"])}"' if k % 3 else ""
+        rows.append((k, f"http://{rng.choice(hosts)}/", f"<html{declared}><p>{' '.join(rng.sample(LANGUAGES[lang].split(), rng.randrange(1, 6)))}</p></html>"))
+    rows += [rows[0], rows[0], (99, "http://x/", "<p>" + "the dog and that cat " * 50_000), (100, None, None)]
+    seen = [r.asDict() for r in langid.evidence(pages(frame, rows), model).collect()]
+    assert len({r["domain"] for r in seen if r["suffix"] == "uk"}) == 2
+    softmax = lambda x: (lambda e: e / e.sum())(np.exp(np.array(x) - max(x)))
+    for r in seen:
+        r["p"] = softmax(r["loglik"])
+    k = len(names)
+    total = sum(r["p"] for r in seen)
+    corpus = (total + 1) / (total.sum() + k)
+    prior = lambda own, above: (own + 10 * above) / (own.sum() + 10)
+
+    def posterior(r):
+        logits = np.array(r["loglik"])
+        for column in ("declared", "suffix"):
+            if r[column] is not None:
+                values = {x[column] for x in seen} - {None}
+                logits = logits + np.log((sum(x["p"] for x in seen if x[column] == r[column]) + 1) / (total + len(values) + 1))
+        of_domain = prior(sum(x["p"] for x in seen if x["domain"] == r["domain"]), corpus)
+        own = sum(x["p"] for x in seen if x["host"] == r["host"]) - r["p"]
+        return softmax(logits + np.log(prior(np.maximum(own, 0), of_domain)))
+
+    want = sorted((r["page_id"], names[int(posterior(r).argmax())], round(float(posterior(r).max()), 4)) for r in seen)
+    got = sorted((r["page_id"], r["lang"], round(r["posterior"], 4)) for r in langid.identify(pages(frame, rows), model).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-4 for g, w in zip(got, want, strict=True))

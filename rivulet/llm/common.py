@@ -49,12 +49,14 @@ def hash_pair(*cols: Column) -> tuple[Column, Column]:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; one of our own only where none is set, as in tests."""
+    """The shared checkpoint folder of the cluster; one of our own only where none is set and all runs on one machine."""
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "rivulet-checkpoints")
     spark.sparkContext.setCheckpointDir(where)
     return spark.sparkContext.getCheckpointDir() or where

@@ -8,6 +8,8 @@ fraction; the fractions of the leaves meet in the same way in a tree of groups o
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,26 +25,38 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
 
 
+def _ranked(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """`rows` with their places in the order of `by` (unique), from 0 on: sorted in ranges, whose counts alone meet."""
+    dealt = cut(rows.repartitionByRange(by).sortWithinPartitions(by).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = {r["__p"]: r["count"] for r in dealt.groupBy("__p").count().collect()}  # one number for each partition
+    starts = [0, *accumulate(counts.get(k, 0) for k in range(max(counts, default=0)))]
+    start = F.get(F.lit(starts).cast("array<long>"), F.col("__p"))
+    return dealt.withColumn(name, start + F.col("__i")).drop("__p", "__i")
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: float = 3.0) -> DataFrame:
     """Rows (key, source_size, n_docs, target) for `sized` (key, size): one row for each source.
 
     Sources ordered by key take the weights in turn. Targets share the sum of all sizes by weight; none exceeds
     `max_repeat` times its source's size, and what is over is shared among the others by weight until none is above.
-    The level at which weights are paid follows from running sums over the sources in the order in which they
-    reach their limits; only the table of sources, not documents, is ordered as a whole.
+    The level at which weights are paid rises in rounds, each a sum over the sources: those whose limit it passes are
+    full and leave the rest to the others. Sources may be many: no task holds them all.
     """
     sources = sized.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy("key")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    out = sources.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(max_repeat)))
-    order = Window.orderBy(F.col("limit") / F.col("weight"), "key")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    out = out.withColumn("level", left / F.sum("weight").over(after))
-    paid = F.col("weight") * F.max("level").over(everything)
-    return out.withColumn("target", F.least("limit", paid)).select("key", "source_size", "n_docs", "target")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__rank") % len(weights) + 1).cast("int"))
+    out = cut(_ranked(sources, "key", "__rank").withColumn("weight", weight).drop("__rank"))
+    limit = F.col("source_size") * F.lit(float(max_repeat))
+    total, level, full = None, 0.0, -1
+    while True:
+        open_ = limit > F.col("weight") * F.lit(level)
+        r = out.agg(F.sum("source_size"), F.sum(F.when(~open_, F.col("source_size"))), F.sum(F.when(open_, F.col("weight"))), F.sum((~open_).cast("long"))).first()
+        total = r[0] or 0
+        if not r[2] or r[3] == full:
+            break
+        # The sum of the sizes is shared out, so what is left is never less than at a lower level.
+        level, full = max(level, (total - float(max_repeat) * (r[1] or 0)) / r[2]), r[3]
+    paid = F.col("weight") * F.lit(level)
+    return out.withColumn("target", F.least(limit, paid)).select("key", "source_size", "n_docs", "target")
 
 
 def _rounded(final: bool):

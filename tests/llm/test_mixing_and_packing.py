@@ -2,6 +2,8 @@ import itertools
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,15 +63,29 @@ def test_reruns_and_other_partitionings_agree(frame, rng):
     assert one == two
 
 
-def test_expectations_hold(frame):
-    """Over many seeds each document is taken as often as its share says."""
-    docs = frame([(k, "w " * (k % 5 + 1), "a" if k % 4 else "b") for k in range(40)], "doc_id long, text string, source string")
-    seen, runs = Counter(), 12
-    for seed in range(runs):
-        for r in mixing.mix(docs, leaf=16, seed=seed).collect():
-            seen[r["doc_id"]] += r["copies"] - r["target"] / r["source_size"]
-    assert abs(sum(seen.values())) / (runs * len(seen)) < 0.05
-    assert max(abs(v) for v in seen.values()) / runs < 0.65
+def test_expectations_hold():
+    """Over many draws each document is taken as often as its share says, and each draw takes the sum."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"doc_id": range(40), "rh": rng.integers(0, 2**60, 40), "size": rng.integers(0, 9, 40), "copies": 0, "frac": rng.uniform(0, 1, 40), "draw": 0.0})
+    go, taken, runs = mixing._rounded(True), np.zeros(40), 2000
+    for _ in range(runs):
+        out = go(rows.assign(draw=rng.uniform(0, 1, 40))).sort_values("doc_id")
+        assert set(out["copies"]) <= {0, 1} and not out["frac"].any()
+        assert abs((out["copies"] * out["size"]).sum() - (rows["frac"] * rows["size"]).sum()) <= 8
+        taken += out["copies"].to_numpy()
+    # Four standard deviations of a mean of so many draws.
+    assert np.abs(taken / runs - rows["frac"]).max() < 4 * 0.5 / np.sqrt(runs)
+
+
+def test_many_sources(frame):
+    """A source for each document: targets against a plain computation."""
+    docs = frame([(k, "w " * (k % 7 * k % 50), f"s{k:04}") for k in range(700)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["target"] for r in mixing.mix(docs).collect()}
+    size, weight, level = [k % 7 * k % 50 for k in range(700)], [k % 3 + 1 for k in range(700)], 0.0
+    for _ in range(100):
+        full = [3 * s <= w * level for s, w in zip(size, weight, strict=True)]
+        level = (sum(size) - 3 * sum(s for s, f in zip(size, full, strict=True) if f)) / sum(w for w, f in zip(weight, full, strict=True) if not f)
+    assert all(abs(got[k] - min(3 * size[k], weight[k] * level)) < 1e-6 for k in range(700)) and abs(sum(got.values()) - sum(size)) < 1e-6
 
 
 def test_mixed_documents_repeat_rows(odd, no_documents, frame):

@@ -79,7 +79,8 @@ def _rounded(final: bool):
             i = i if open_i else j if open_j else -1
         frac = np.where(size > 0, mass / np.where(size > 0, size, 1), (draw < rows["frac"].to_numpy()).astype(float))
         if final and i >= 0:
-            frac[i] = float(draw[i] < frac[i])
+            # The low bits of a draw; its size may have told where mass went.
+            frac[i] = float(draw[i] * (1 << 26) % 1 < frac[i])
         rows["copies"] += (frac > 1 - _NEAR).astype(np.int64)
         rows["frac"] = np.where((frac > 1 - _NEAR) | (frac < _NEAR), 0.0, frac)
         return rows

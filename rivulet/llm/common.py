@@ -82,3 +82,9 @@ def unplaced(df: DataFrame, *names: str) -> DataFrame:
     where one side keeps the partitioning of an earlier aggregate.
     """
     return df.withColumns({n: F.col(n).bitwiseXOR(F.lit(0).cast("long")) for n in names})
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

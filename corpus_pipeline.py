@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import linededup, mixing, packing, quality, simhash_texts
-from rivulet.llm.common import ensure_checkpoint_dir
+from rivulet.llm.common import ensure_checkpoint_dir, remove
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,8 +22,9 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with the lines that passed them."""
-    good = quality.assess(docs.select(*COLUMNS)).where("kept")
+    """Documents that the quality rules keep, with the lines that passed them. Packing has use for short documents, so
+    only those of fewer than five words count as too short."""
+    good = quality.assess(docs.select(*COLUMNS), min_words=5).where("kept")
     return _with_length(good.withColumn("text", F.col("clean_text")))
 
 
@@ -61,10 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`, each written to the shared checkpoint folder and read again."""
+    """All stages over the documents of `sf_dir`, each written to the shared checkpoint folder and read again. What a
+    stage wrote goes when the next one is done."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -75,6 +76,13 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier steps shuffled and checkpointed: Spark deletes it once the driver has collected its garbage,
+    which a driver with little to do puts off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unplaced(df: DataFrame, *names: str) -> DataFrame:
     """Forget the known partitioning on the long columns `names`.
 

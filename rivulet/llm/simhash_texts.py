@@ -17,12 +17,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import WS, WS_CLASS, cut, lower_ascii, unplaced
+from rivulet.llm.common import WS, WS_CLASS, cut, lower_ascii, release, unplaced
 from rivulet.llm.components import components
 from rivulet.llm.simhash import candidate_keys
 
 _U = np.uint64
 _WORDS_AT_ONCE = 1 << 16
+#: Bits of a tag that are a fingerprint.
+_SKETCH = 40
 
 
 class _Hashes(dict):
@@ -132,28 +134,39 @@ def _labelled(table: DataFrame, labels: DataFrame, name: str) -> DataFrame:
 
 
 class _Search:
-    """The groups of a table of nodes (node, n: shingles, fps, bits: parities), all of them different texts."""
+    """The groups of a table of nodes (node, n: shingles, fps, bits: parities, tag), all of them different texts.
+
+    A tag is a node's name while keys are compared: 40 bits of one more fingerprint and 24 bits of a hash. Two tags tell
+    at once whether their texts may be near, without a look at the texts' rows.
+    """
 
     def __init__(self, nodes: DataFrame, sets_of, least: float, tables: int, far: int, few: int, block: int):
-        self.nodes, self.sets_of, self.least, self.tables, self.far, self.few, self.block = nodes, sets_of, least, tables, far * tables, few, block
+        self.nodes, self.sets_of, self.least, self.tables, self.few, self.block = nodes, sets_of, least, tables, few, block
+        self.far, self.far_tags = far * tables, far * _SKETCH // 64 + 1
 
-    def keyed(self) -> DataFrame:
+    def keyed(self, nodes: DataFrame) -> DataFrame:
+        """Rows (key, tag, g) of `nodes` (tag, fps, g)."""
         tables = self.tables
 
         def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                node, fps = batch["node"].to_numpy(np.int64), np.array(batch["fps"].tolist(), np.int64).reshape(len(batch), -1)
-                for at in range(0, len(node), 1024):
+                tag, g, fps = batch["tag"].to_numpy(np.int64), batch["g"].to_numpy(np.int64), np.array(batch["fps"].tolist(), np.int64).reshape(len(batch), -1)
+                for at in range(0, len(tag), 1024):
                     for k in range(tables):
                         rows, keys = candidate_keys(np.ascontiguousarray(fps[at : at + 1024, k]).view(np.uint64))
-                        yield pd.DataFrame({"key": keys << 3 | k, "node": node[at : at + 1024][rows]})
+                        yield pd.DataFrame({"key": keys << 3 | k, "tag": tag[at : at + 1024][rows], "g": g[at : at + 1024][rows]})
 
-        return self.nodes.select("node", "fps").mapInPandas(expand, "key long, node long")
+        return nodes.select("tag", "fps", "g").mapInPandas(expand, "key long, tag long, g long")
 
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose fingerprints differ in few enough bits."""
-        both = _with(_with(pairs, "a", self.nodes, "fps"), "b", self.nodes, "fps")
-        return both.where(self.bits("fps_a", "fps_b") <= self.far).select("a", "b")
+    def tags_near(self, a: Column, b: Column) -> Column:
+        return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 64 - _SKETCH)) <= self.far_tags
+
+    def near(self, tags: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes with the tags of a row (a, b) whose fingerprints differ in few enough bits."""
+        known = unplaced(self.nodes.select("tag", "node", "fps"), "tag")
+        for c in ("a", "b"):
+            tags = unplaced(tags, c).join(known.select(F.col("tag").alias(f"t{c}"), F.col("node").alias(f"node_{c}"), F.col("fps").alias(f"fps_{c}")), F.col(c) == F.col(f"t{c}"))
+        return _pairs(F.col("node_a"), F.col("node_b"), tags.where(self.bits("fps_a", "fps_b") <= self.far))
 
     @staticmethod
     def bits(a: str, b: str) -> Column:
@@ -177,7 +190,9 @@ class _Search:
         sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = _with(_with(pairs, "a", sets, "s"), "b", sets, "s")
         shared = F.size(F.array_intersect("s_a", "s_b"))
-        return cut(both.where(shared >= self.least * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b"))
+        out = cut(both.where(shared >= self.least * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b"))
+        release(out.sparkSession)
+        return out
 
     def in_blocks(self, members: DataFrame, all_of_them: bool) -> DataFrame:
         """Pairs (a, b) to verify, of nodes of one neighbourhood g in different components c.
@@ -229,51 +244,79 @@ class _Search:
         members = unplaced(nodes, "g").join(unplaced(mixed, "k"), F.col("g") == F.col("k"))
         return cut(members.select("g", "node", "c", (F.col("c") != F.col("main")).alias("odd")))
 
+    def _sent(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows of a few longs to be joined with all keyed rows: broadcast where they are few, else exchanged."""
+        return F.broadcast(rows) if rows.count() <= self.few else unplaced(rows, key)
+
+    @staticmethod
+    def _some_ties(near: DataFrame) -> DataFrame:
+        """Of each node's near pairs those with its smallest and its largest fellow: enough for neighbourhoods."""
+        either = near.union(near.select("b", "a"))
+        return either.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).select("a", F.explode(F.array("x", "y")).alias("b"))
+
     def groups(self) -> DataFrame:
         """Rows (node, component) for the nodes that link with another one.
 
-        1. Every node of a key meets the key's smallest node. Of these pairs, those with near fingerprints make
-           neighbourhoods, and those that are similar make links, which joins most of a group of copies at a cost in
-           proportion to the rows.
-        2. In neighbourhoods that still hold several components, first the likeliest pair of each odd node, then all
-           pairs of different components are looked at, in blocks, by their parities.
-        3. Nodes of one key that are in different neighbourhoods meet one by one where their fingerprints are near.
-
-        So two similar texts that share a key are in one component, if their fingerprints are near at all.
+        1. Keys are shuffled once, and only their smallest and largest tag, exclusive-or and number come out. That names
+           all nodes of a key of two or three; their pairs are verified where they are near. The near ones tie nodes
+           into neighbourhoods, as do the smallest and the largest node of a larger key.
+        2. The other nodes of larger keys that are in another neighbourhood than the smallest one are strays. If there
+           are many, as in large groups, they meet the smallest node first, and near ones tie.
+        3. Strays meet all nodes of the key that are not in their own neighbourhood; near pairs are verified.
+        4. In neighbourhoods that hold several components, first the likeliest pair of each node outside the largest
+           one, then all pairs that are left are looked at in blocks, by their parities, and verified.
+
+        So two similar texts that share a key are in one component, if their fingerprints are near at all; and no more
+        rows come out of a key than it has nodes, but for near pairs of strays.
         """
-        keyed = self.keyed()
-        ends = cut(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi")))
-        # Keys of two nodes are done with; the members of larger ones are looked up.
-        crowded = ends.where(F.col("m") > 2).select(F.col("key").alias("k"), "lo")
-        crowded = F.broadcast(crowded) if crowded.count() <= self.few else unplaced(crowded, "k")
-        crowd = cut(keyed.join(crowded, F.col("key") == F.col("k")).select("key", "node", "lo"))
-        stars = ends.where(F.col("m") == 2).select("lo", F.col("hi").alias("node")).union(crowd.select("lo", "node"))
-        ties = cut(self.near(_pairs(F.col("lo"), F.col("node"), stars)))
-        links = self.verified(self.able(ties))
-        around = cut(components(ties).select("node", F.col("component").alias("g")))
+        alone = self.nodes.withColumn("g", F.col("node"))
+        keyed = self.keyed(alone)
+        ends = cut(keyed.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi"), F.bit_xor("tag").alias("x"), F.count("*").alias("m")).where(F.col("lo") != F.col("hi")))
+        third = F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+        pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        both = pair(F.col("lo"), F.col("hi"))
+        three = F.array(both, pair(F.col("lo"), third), pair(third, F.col("hi")))
+        met = ends.select(F.explode(F.when(F.col("m") == 3, three).otherwise(F.array(both))).alias("p")).select("p.a", "p.b")
+        # Nodes with one tag are near by their sketches; keys cannot tell them apart.
+        same = self.nodes.groupBy("tag").agg(F.count("*").alias("m")).where(F.col("m") > 1).select(F.col("tag").alias("a"), F.col("tag").alias("b"))
+        near = cut(self.near(_pairs(F.col("a"), F.col("b"), met.where(self.tags_near(F.col("a"), F.col("b")))).union(same)))
+        release(near.sparkSession)
+        around = cut(components(self._some_ties(near)).select("node", F.col("component").alias("g")))
+
+        crowded = ends.where(F.col("m") > 3).select("key", "lo")
+        if crowded.limit(1).count():
+            here, big = self.placed(around, crowded)
+            away = (F.col("key") == F.col("k")) & (F.col("g") != F.col("glo"))
+            strays = cut(self.keyed(here).join(self._sent(big, "k"), away))
+            if strays.limit(self.few + 1).count() > self.few:
+                met = strays.where(self.tags_near(F.col("tag"), F.col("lo")))
+                near = cut(near.union(self.near(_pairs(F.col("tag"), F.col("lo"), met))))
+                around = cut(components(self._some_ties(near)).select("node", F.col("component").alias("g")))
+                here, big = self.placed(around, crowded)
+                strays = cut(self.keyed(here).join(self._sent(big, "k"), away))
+            strays = strays.select(F.col("key").alias("sk"), F.col("tag").alias("stray"), F.col("g").alias("sg"))
+            met = self.keyed(here).join(self._sent(strays, "sk"), (F.col("key") == F.col("sk")) & (F.col("g") != F.col("sg")) & self.tags_near(F.col("tag"), F.col("stray")))
+            near = cut(near.union(self.near(_pairs(F.col("tag"), F.col("stray"), met))))
+            release(near.sparkSession)
+
+        links = self.verified(self.able(near))
         for every in (False, True):
             members = self.mixed(around, links)
             links = cut(links.union(self.verified(self.in_blocks(members, every))))
-        links = links.union(self.verified(self.able(self.across(crowd, around))))
         return components(links)
 
-    def across(self, crowd: DataFrame, around: DataFrame) -> DataFrame:
-        """Near pairs (a, b) of a key in different neighbourhoods: all outside the key's largest one meet all."""
-        placed = cut(_labelled(crowd.select("key", "node"), around.withColumnRenamed("g", "component"), "g"))
-        sizes = placed.groupBy("key", "g").agg(F.count("*").alias("m"))
-        mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "g"))["g"].alias("main"), F.count("*").alias("parts")).where(F.col("parts") > 1)
-        mixed = mixed.select(F.col("key").alias("k"), "main")
-        rest = unplaced(placed, "key").join(unplaced(mixed, "k"), F.col("key") == F.col("k")).select("key", "node", "g", "main")
-        rest = cut(_with(rest, "node", self.nodes, "fps").select("key", "node", "g", "main", F.col("fps_node").alias("f")))
-        left = unplaced(rest.where(F.col("g") != F.col("main")), "key").select("key", F.col("node").alias("x"), F.col("f").alias("fx"), F.col("g").alias("gx"))
-        right = unplaced(rest, "key").select(F.col("key").alias("k"), F.col("node").alias("y"), F.col("f").alias("fy"), F.col("g").alias("gy"))
-        near = (F.col("key") == F.col("k")) & (F.col("gx") != F.col("gy")) & (self.bits("fx", "fy") <= self.far)
-        return _pairs(F.col("x"), F.col("y"), left.join(right, near))
+    def placed(self, around: DataFrame, crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The nodes (tag, fps, g) with their neighbourhoods, and rows (k, lo, glo) of the larger keys."""
+        here = cut(_labelled(self.nodes.select("node", "tag", "fps"), around.withColumnRenamed("g", "component"), "g").select("tag", "fps", "g"))
+        # Nodes that share a tag may be in different neighbourhoods; any one of them will do.
+        of = here.groupBy("tag").agg(F.min("g").alias("glo"))
+        big = unplaced(crowded, "lo").join(unplaced(of, "tag"), F.col("lo") == F.col("tag"))
+        return here, cut(big.select(F.col("key").alias("k"), "lo", "glo"))
 
 
 def text_groups(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, least: float = 0.8,
-    tables: int = 5, far_bits: int = 16, few: int = 400_000, block: int = 1024,
+    tables: int = 5, far_bits: int = 16, few: int = 1_000_000, block: int = 512,
 ) -> DataFrame:
     """Rows (doc_id, th, kept), one for each distinct pair of id and text hash: kept for one row of each group.
 
@@ -283,15 +326,15 @@ def text_groups(
     `_Search.groups` for how a key's texts meet, and the README for the share of similar texts that share no key.
     Equal texts are one node from the start, so a large group of copies costs no comparison. Of a group the row with
     the smallest (doc_id, th) is kept, null ids last. Null, empty and blank texts are equal to each other. Other
-    columns of `docs` are not looked at. Keys of three texts or more are broadcast where they are at most `few`,
-    counted first.
+    columns of `docs` are not looked at. Tables of two or three longs a row are broadcast where they have at most `few`
+    rows, counted first.
     """
     if not 1 <= tables <= 8:
         raise ValueError("tables must be from 1 to 8")
     same = F.xxhash64(lower_ascii(F.regexp_replace(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(WS)), WS_CLASS + "+", " ")))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("th"), same.alias("node"), F.col(text).alias("text"))
 
-    @F.pandas_udf("n int, fps array<long>, bits binary")
+    @F.pandas_udf("n int, fps array<long>, sketch long, bits binary")
     def features(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _Hashes()
         for t in texts:
@@ -299,11 +342,14 @@ def text_groups(
             for x in t:
                 words = word_hashes(x, known)
                 s = shingles(words, width)
-                rows.append((len(s), word_fingerprints(words, tables).view(np.int64), parities(s)))
-            yield pd.DataFrame(rows, columns=["n", "fps", "bits"])
+                fps = word_fingerprints(words, tables + 1).view(np.int64)
+                rows.append((len(s), fps[:-1], fps[-1], parities(s)))
+            yield pd.DataFrame(rows, columns=["n", "fps", "sketch", "bits"])
 
     own = cut(base.select("doc_id", "th", "node", features("text").alias("f")).select("doc_id", "th", "node", "f.*"))
-    nodes = cut(own.groupBy("node").agg(F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("bits").alias("bits")))
+    nodes = own.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fps", "sketch", "bits")])
+    tag = F.shiftleft("sketch", 64 - _SKETCH).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << (64 - _SKETCH)) - 1)))
+    nodes = cut(nodes.select("node", "n", "fps", "bits", tag.alias("tag")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         one = own.groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("r")).select(F.col("node").alias("m"), F.col("r.th").alias("rt"), F.col("r.doc_id").alias("rd"))

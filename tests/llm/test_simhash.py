@@ -93,8 +93,9 @@ def test_near_duplicates_of_odd_rows(odd, no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components_of_chains_and_stars(spark, few):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (300, 200)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     assert {got[k] for k in range(61)} == {0} and {got[k] for k in range(100, 160)} == {100} and got[300] == got[200] == 200
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0

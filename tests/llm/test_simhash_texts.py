@@ -92,8 +92,8 @@ def test_edited_copies_at_the_edge_in_small_blocks(spark, rng):
 
 def test_twenty_pairs_that_share_one_key(spark, rng, monkeypatch):
     class OneKey(X._Search):
-        def keyed(self):
-            return self.nodes.select(F.lit(5).cast("long").alias("key"), "node")
+        def keyed(self, nodes):
+            return nodes.select(F.lit(5).cast("long").alias("key"), "tag", "g")
 
     monkeypatch.setattr(X, "_Search", OneKey)
     texts = []

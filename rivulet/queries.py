@@ -293,10 +293,10 @@ def connector_dlq(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- continuous -----------------------------------------------------------------------------------------------------
-def _running(spark: SparkSession, d: str) -> Engine:
-    """An engine whose log holds the events, clicks and purchases as streams, with a closing record far in the future."""
+def _running(spark: SparkSession, d: str, *names: str) -> Engine:
+    """An engine whose log holds the named relations as streams s_..., each payload with the record's id."""
     e = engine(spark, d)
-    for name in ("events", "clicks", "purchases"):
+    for name in names:
         e.publish(f"s_{name}", e.relation(name).withColumn("payload", F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit(',"id":'), "offset", F.lit("}"))), order=["timestamp", "key"])
     return e
 
@@ -307,28 +307,28 @@ def _run(e: Engine, text: str, **options) -> None:
 
 @_op("SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type = 'click'")
 def continuous_filter(spark: SparkSession, d: str) -> DataFrame:
-    e = _running(spark, d)
+    e = _running(spark, d, "events")
     _run(e, "CREATE VIEW c AS SELECT key, payload->>'id' AS id FROM s_events WHERE payload->>'type' = 'click' EMIT CHANGES")
     return e.sql("SELECT (payload->>'id')::BIGINT AS id, key FROM c")
 
 
 @_op("SELECT epoch_us(w) AS w, type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2) WHERE w + INTERVAL 1 HOUR + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events)")
 def emit_final_stream(spark: SparkSession, d: str) -> DataFrame:
-    e = _running(spark, d)
+    e = _running(spark, d, "events")
     _run(e, "CREATE VIEW f AS SELECT TUMBLE(timestamp, INTERVAL '1 hour') AS w, payload->>'type' AS type, COUNT(*) AS n FROM s_events GROUP BY w, type EMIT FINAL")
     return e.sql("SELECT unix_micros((payload->>'w')::TIMESTAMP) AS w, payload->>'type' AS type, (payload->>'n')::BIGINT AS n FROM f")
 
 
 @_op("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS w, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2")
-def emit_changes_stream(spark: SparkSession, d: str) -> DataFrame:
-    e = _running(spark, d)
+def windowed_view_stream(spark: SparkSession, d: str) -> DataFrame:
+    e = _running(spark, d, "events")
     _run(e, "CREATE MATERIALIZED VIEW m AS SELECT TUMBLING(timestamp, '1 hour') AS w, payload->>'type' AS type, COUNT(*) AS n FROM s_events GROUP BY w, type")
     return e.sql("SELECT unix_micros(w) AS w, type, n FROM m")
 
 
 @_op("SELECT event_type AS type, count(*) AS n, round(sum(value), 2) AS s FROM events GROUP BY 1")
 def materialized_view(spark: SparkSession, d: str) -> DataFrame:
-    e = _running(spark, d)
+    e = _running(spark, d, "events")
     _run(e, "CREATE MATERIALIZED VIEW m AS SELECT payload->>'type' AS type, COUNT(*) AS n, SUM((payload->>'value')::numeric) AS s FROM s_events GROUP BY 1")
     return e.sql("SELECT type, n, ROUND(s, 2) AS s FROM m")
 
@@ -342,14 +342,14 @@ def view_key_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @_op("SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000")
 def stream_stream_join(spark: SparkSession, d: str) -> DataFrame:
-    e = _running(spark, d)
+    e = _running(spark, d, "clicks", "purchases")
     _run(e, "CREATE VIEW j AS SELECT a.payload->>'id' AS a, b.payload->>'id' AS b FROM s_clicks a JOIN s_purchases b ON a.key = b.key WITHIN '10 minutes'")
     return e.sql("SELECT (payload->>'a')::BIGINT AS a, (payload->>'b')::BIGINT AS b FROM j")
 
 
 @_op("SELECT event_id AS id, c_name AS name FROM events LEFT JOIN customer ON user_id = c_custkey")
 def stream_lookup_join(spark: SparkSession, d: str) -> DataFrame:
-    e = _running(spark, d)
+    e = _running(spark, d, "events")
     _run(e, "CREATE VIEW l AS SELECT s.payload->>'id' AS id, c.c_name AS name FROM s_events s LEFT JOIN warehouse.customer c ON s.key = c.c_custkey::text")
     return e.sql("SELECT (payload->>'id')::BIGINT AS id, payload->>'name' AS name FROM l")
 
@@ -364,3 +364,58 @@ def stream_changelog_rows(spark: SparkSession, d: str) -> DataFrame:
     q = stream_changelog(rows, "1 day", ["type"], "value").writeStream.format("parquet").option("path", f"{root}/cl").option("checkpointLocation", f"{root}/clc").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{root}/cl").select((F.col("offset") + lowest).alias("id"), F.unix_micros("window_start").alias("w"), F.col("count").alias("n"), F.round("sum", 2).alias("s"))
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[Engine, DataFrame, DataFrame]:
+    """An engine, and the events with their ids in the payload, in two parts by id."""
+    e = engine(spark, d)
+    rows = e.relation("events").withColumns({"o": F.col("offset"), "payload": F.concat(F.expr("substring(payload, 1, length(payload) - 1)"), F.lit(',"id":'), "offset", F.lit("}"))})
+    n = rows.count() // 2
+    lowest = rows.agg(F.min("o")).first()[0] or 0
+    return e, rows.where(F.col("o") < lowest + n), rows.where(F.col("o") >= lowest + n)
+
+
+@_op("SELECT event_id AS id FROM events")
+def continuous_after_crash(spark: SparkSession, d: str) -> DataFrame:
+    """A writer dies after it wrote a segment and before the commit: neither kind of reader may see it."""
+    e, first, rest = _halves(spark, d)
+    e.publish("s", first, order=["o"])
+    first.select("offset", "timestamp", "subject", "key", "payload", "headers").write.parquet(f"{e.root}/streams/s/staged/died")
+    q = e.continuous.create("CREATE VIEW c AS SELECT payload->>'id' AS id FROM s EMIT CHANGES")
+    e.continuous.wait(q)
+    e.publish("s", rest, order=["o"])
+    e.continuous.wait(e.continuous.resume(q))
+    e.continuous.wait(e.continuous.resume(q))
+    return e.sql("SELECT (payload->>'id')::BIGINT AS id FROM c")
+
+
+@_op("SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type = 'click'")
+def projection_view_two_batches(spark: SparkSession, d: str) -> DataFrame:
+    e, first, rest = _halves(spark, d)
+    e.publish("s", first, order=["o"])
+    q = e.continuous.create("CREATE MATERIALIZED VIEW m AS SELECT payload->>'id' AS id, key FROM s WHERE payload->>'type' = 'click'")
+    e.continuous.wait(q)
+    e.publish("s", rest, order=["o"])
+    e.continuous.wait(e.continuous.resume(q))
+    return e.sql("SELECT id::BIGINT AS id, key FROM m")
+
+
+@_op("SELECT event_id AS id FROM events WHERE event_id < (SELECT min(event_id) + count(*) // 2 FROM events)")
+def truncated_stream_continuous(spark: SparkSession, d: str) -> DataFrame:
+    e, first, rest = _halves(spark, d)
+    n = first.count()
+    e.publish("s", first.unionByName(rest), order=["o"])
+    e.log.truncate("s", n)
+    _run(e, "CREATE VIEW c AS SELECT payload->>'id' AS id FROM s EMIT CHANGES")
+    return e.sql("SELECT (payload->>'id')::BIGINT AS id FROM c")
+
+
+@_op("SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1")
+def grouped_view_two_batches(spark: SparkSession, d: str) -> DataFrame:
+    e, first, rest = _halves(spark, d)
+    e.publish("s", first, order=["o"])
+    q = e.continuous.create("CREATE MATERIALIZED VIEW m AS SELECT payload->>'type' AS type, COUNT(*) AS n FROM s GROUP BY 1")
+    e.continuous.wait(q)
+    e.publish("s", rest, order=["o"])
+    e.continuous.wait(e.continuous.resume(q))
+    return e.sql("SELECT type, n FROM m")

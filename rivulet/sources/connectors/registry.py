@@ -11,6 +11,7 @@ import json
 import re
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -135,12 +136,25 @@ class CaptureTable(Table):
     def __init__(self, spark: SparkSession, settings: dict):
         super().__init__(spark, {"tracking_column": "__$start_lsn"} | settings)
 
+    def poll(self, cursor: str | None) -> tuple[DataFrame | None, str | None]:
+        """Positions are binary(10); the cursor is their hexadecimal text, which has the same order."""
+        s, at = self.settings, F.hex(F.col(f"`{self.tracking}`"))
+        if s["url"].startswith("jdbc:"):
+            d = sql.Dialect(s.get("database", "mssql"))
+            after = f" WHERE {d.quote(self.tracking)} > 0x{int(cursor, 16):020X}" if cursor is not None else ""
+            rows = self.spark.read.format("jdbc").option("url", s["url"]).option("query", f"SELECT * FROM {d.table(s['table'])}{after}").load()
+        else:
+            rows = self.spark.read.parquet(s["url"])
+        new = rows if cursor is None else rows.where(at > cursor)
+        upto = new.select(at.alias("at")).orderBy("at").limit(self.limit).agg(F.max("at")).first()[0]
+        return (None, cursor) if upto is None else (self.records(new.where(at <= upto)), upto)
+
     def records(self, rows: DataFrame) -> DataFrame:
         names = F.create_map(*[x for k, v in sql.CDC_OPERATIONS.items() for x in (F.lit(k), F.lit(v))])
         own = [c for c in rows.columns if not c.startswith("__$")]
         shown = rows.select(*own, F.try_element_at(names, F.col("`__$operation`").cast("int")).alias("__op"), F.col(f"`{self.tracking}`").alias("lsn"))
         payload = F.to_json(F.struct(*own, "__op"), {"ignoreNullFields": "false"})
-        return shown.select(F.current_timestamp().alias("timestamp"), F.concat_ws(".", F.lit(self.settings.get("table", "table")), "__op").alias("subject"), F.col(own[0]).cast("string").alias("key"), payload.alias("payload"), _headers({MESSAGE_ID: F.concat_ws(":", F.col(own[0]).cast("string"), F.col("lsn").cast("string"), "__op")}).alias("headers"))
+        return shown.select(F.current_timestamp().alias("timestamp"), F.concat_ws(".", F.lit(self.settings.get("table", "table")), "__op").alias("subject"), F.col(own[0]).cast("string").alias("key"), payload.alias("payload"), _headers({MESSAGE_ID: F.concat_ws(":", F.col(own[0]).cast("string"), F.hex("lsn"), "__op")}).alias("headers"))
 
 
 def _http(url: str, body: bytes | None, headers: dict[str, str], method: str, timeout: float) -> tuple[int, dict[str, str], bytes]:
@@ -231,32 +245,56 @@ class HttpSink:
 class JdbcSink:
     """Rows to a table: typed by a schema, else as blobs. Records that do not fit the schema are poison.
 
-    Inserts go through Spark's writer. Upserts are staged: rows go to a side table first, and one MERGE or INSERT ...
-    ON CONFLICT that `execute` runs moves them; without `execute` only inserts are possible.
+    With `execute`, which runs SQL at the database, rows go to a side table first, and one statement moves them: in the
+    mode upsert (the default where `key` columns are set) rows with a known key replace the old ones, in the mode insert
+    they are passed over; of rows of one batch with one key the last by offset counts. So a batch that is sent again
+    changes nothing. Without `execute` rows are inserted by Spark's writer; a batch that the database refuses for a
+    known key goes to the dead letters, as nobody can tell which of its rows are there.
     """
 
     def __init__(self, spark: SparkSession, settings: dict, execute: Callable[[str], None] | None = None, save: Callable[[DataFrame, str], None] | None = None):
         self.settings, self.execute = settings, execute
         self.dialect = sql.Dialect(settings.get("database", "postgres"))
         self.fields = schema.parse(settings["schema"]) if "schema" in settings else sql.BLOB
+        self.key = [k for k in (settings.get("key") or "").split(",") if k] or ([] if "schema" in settings else ["offset"])
         self.save = save or (lambda rows, table: rows.write.mode("append").jdbc(settings["url"], table, properties=settings.get("properties", {})))
 
+    def _staged(self, out: DataFrame) -> None:
+        d, table = self.dialect, self.settings["table"]
+        stage = f"{table}_stage_{uuid.uuid4().hex[:8]}"
+        self.execute(d.create(table, self.fields, self.key))
+        self.execute(d.create(stage, self.fields, []))
+        try:
+            self.save(out, stage)
+            self.execute(d.move(table, stage, self.fields, self.key, replace=self.settings.get("mode", "upsert") == "upsert"))
+        finally:
+            self.execute(f"DROP TABLE {d.table(stage)}")
+
     def write(self, rows: DataFrame):
         if "schema" in self.settings:
             bound = schema.bind(rows, self.fields)
             good, bad = bound.where(F.col("error").isNull()), bound.where(F.col("error").isNotNull()).withColumn("reason", F.lit("schema"))
-            out = good.select(*[f.name for f in self.fields])
         else:
-            bad, out = None, rows.select("offset", "subject", "key", F.col("payload").alias("value"))
+            bad, good = None, rows.withColumn("value", F.col("payload"))
+        names = [f.name for f in self.fields]
+        out = good.select(*names)
+        total = out.count()
         try:
-            self.save(out, self.settings["table"])
+            if self.execute and self.key:
+                # A name of a key column may be "offset" itself, so the record's place has a name of its own.
+                last = good.select(*names, F.col("offset").alias("__at")).groupBy(*self.key).agg(F.max_by(F.struct(*names), "__at").alias("r"))
+                self._staged(last.select("r.*"))
+            else:
+                self.save(out, self.settings["table"])
         except Exception as e:  # a driver's own exception; its state says what it is
             state = re.search(r"SQLSTATE[:( ]+(\w{5})", str(e))
             kind = sql.classify(state[1] if state else None)
-            if kind != "duplicate":
-                return 0, rows if kind == "poison" else None, Outcome.POISON if kind == "poison" else Outcome.TRANSIENT, str(e).split("\n")[0]
+            if kind == "transient":
+                return 0, None, Outcome.TRANSIENT, str(e).split("\n")[0]
+            dead = rows.withColumns({"reason": F.lit(kind), "error": F.lit(str(e).split("\n")[0])})
+            return 0, dead, Outcome.POISON, str(e).split("\n")[0]
         poison = bad is not None and bad.limit(1).count() > 0
-        return out.count(), bad if poison else None, Outcome.POISON if poison else Outcome.SUCCESS, ""
+        return total, bad if poison else None, Outcome.POISON if poison else Outcome.SUCCESS, ""
 
 
 class QueueSink:

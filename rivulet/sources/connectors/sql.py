@@ -77,6 +77,24 @@ class Dialect:
         sets = ", ".join(f"{q(c)} = excluded.{q(c)}" for c in rest)
         return f"{self.insert(table, fields)} ON CONFLICT ({', '.join(q(k) for k in key)}) DO {f'UPDATE SET {sets}' if sets else 'NOTHING'}"
 
+    def move(self, table: str, stage: str, fields: list[Field], key: list[str], replace: bool = True) -> str:
+        """All rows of `stage` to `table`; those with a known key replace the old ones or, without `replace`, are passed over."""
+        q = self.quote
+        names = ", ".join(q(f.name) for f in fields)
+        rest = [f.name for f in fields if f.name not in key] if replace else []
+        if self.name == "mssql":
+            update = f" WHEN MATCHED THEN UPDATE SET {', '.join(f't.{q(c)} = s.{q(c)}' for c in rest)}" if rest else ""
+            return (
+                f"MERGE {self.table(table)} WITH (HOLDLOCK) AS t USING {self.table(stage)} AS s ON {' AND '.join(f't.{q(k)} = s.{q(k)}' for k in key)}{update}"
+                f" WHEN NOT MATCHED THEN INSERT ({names}) VALUES ({', '.join('s.' + q(f.name) for f in fields)});"
+            )
+        insert = f"INSERT INTO {self.table(table)} ({names}) SELECT {names} FROM {self.table(stage)}"
+        if self.name == "mysql":
+            return f"{insert} ON DUPLICATE KEY UPDATE {', '.join(f'{q(c)} = VALUES({q(c)})' for c in rest) or f'{q(key[0])} = {self.table(table)}.{q(key[0])}'}"
+        # The condition that is always true tells SQLite that ON does not belong to a join.
+        sets = ", ".join(f"{q(c)} = excluded.{q(c)}" for c in rest)
+        return f"{insert} WHERE 1 = 1 ON CONFLICT ({', '.join(q(k) for k in key)}) DO {f'UPDATE SET {sets}' if sets else 'NOTHING'}"
+
     def poll(self, table: str, columns: list[str], tracking: str, limit: int) -> str:
         """The rows after a cursor value (the one mark), oldest first, at most `limit`."""
         names = ", ".join(self.quote(c) for c in columns) if columns else "*"

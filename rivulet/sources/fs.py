@@ -30,6 +30,10 @@ class Files:
         fs, p = self._at(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
+    def make(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.mkdirs(p)
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)

@@ -1,8 +1,10 @@
 """The log store: streams of records with dense offsets, kept as immutable Parquet segments.
 
-A stream is a folder. Each append writes one segment; a manifest lists the segments with their offsets and times.
-There is one writer for each stream at a time; a manifest that somebody else changed is an error. Readers take a
-manifest once, and see whole appends only.
+A stream is a folder. Each append writes one segment beside the others; then a manifest that lists it with its offsets
+and times is saved, which is the commit; then the segment is moved to the others. Whoever reads the manifest first after
+a crash in between finishes the move. So bounded readers, who take a manifest once, and unbounded ones, who find
+segments as files, see whole appends only, and the same ones. There is one writer for each stream at a time; a manifest
+that somebody else changed is an error.
 """
 
 from __future__ import annotations
@@ -66,8 +68,19 @@ class Log:
         version, value = self._versions(stream).load()
         if value is None:
             raise StorageError(f"no stream {stream!r}")
+        self._finish(value)
         return version, value
 
+    def _finish(self, manifest: dict) -> None:
+        """Move the last segment to its place, if the writer died before it could."""
+        last = manifest["segments"][-1] if manifest["segments"] else {}
+        if "staged" in last and not self.files.exists(last["path"]) and self.files.exists(last["staged"]):
+            self._place(last)
+
+    def _place(self, segment: dict) -> None:
+        self.files.make(segment["path"].rsplit("/", 1)[0])
+        self.files.rename(segment["staged"], segment["path"])
+
     def create(self, stream: str, config: StreamConfig | None = None) -> None:
         """Make the stream if it isn't there; a config given for an existing one replaces its config."""
         versions = self._versions(stream)
@@ -95,15 +108,24 @@ class Log:
         return m["earliest"], m["next"]
 
     # -- writing ------------------------------------------------------------------------------------------------
-    def append(self, stream: str, records: DataFrame, order: list[str | Column] | None = None) -> tuple[int, int]:
+    def marked(self, stream: str, mark: str) -> int | None:
+        """The number that an append with this `mark` had last."""
+        return self._manifest(stream)[1].get("marks", {}).get(mark)
+
+    def append(self, stream: str, records: DataFrame, order: list[str | Column] | None = None, mark: tuple[str, int] | None = None) -> tuple[int, int]:
         """Append `records` (timestamp, subject, key, payload, headers; absent ones get defaults) and return the first
         offset and the next one. Offsets follow `order` (the time by default), ties broken by the record's content.
 
         The rows are range-partitioned and sorted once; offsets are then a partition's start plus the place in it, so
-        nothing is numbered in one task and the driver only sees a count for each partition.
+        nothing is numbered in one task and the driver only sees a count for each partition. `mark` is a name and a
+        growing number that are committed with the records; an append with a number that was committed does nothing.
         """
         self.create(stream)
         version, m = self._manifest(stream)
+        if mark and m.get("marks", {}).get(mark[0], -1) >= mark[1]:
+            return m["next"], m["next"]
+        if mark:
+            m = m | {"marks": m.get("marks", {}) | {mark[0]: mark[1]}}
         rows = records.withColumns({
             "timestamp": (F.coalesce(F.col("timestamp").cast("timestamp"), F.current_timestamp()) if "timestamp" in records.columns else F.current_timestamp()),
             "subject": (F.coalesce(F.col("subject"), F.lit(stream)) if "subject" in records.columns else F.lit(stream)),
@@ -122,19 +144,24 @@ class Log:
             found = placed.groupBy("__p").agg(F.count("*").alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).orderBy("__p").collect()
             total = sum(r["n"] for r in found)
             if not total:
+                if mark:
+                    self._versions(stream).save(version, m)
                 return m["next"], m["next"]
-            starts = dict(zip([r["__p"] for r in found], accumulate([m["next"], *(r["n"] for r in found)][:-1]), strict=True))
-            start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("__p"))
-            path = f"{self._folder(stream)}/segments/{m['next']:020d}-{uuid.uuid4().hex[:8]}"
+            counts = {r["__p"]: r["n"] for r in found}
+            starts = list(accumulate((counts.get(k, 0) for k in range(max(counts))), initial=m["next"]))
+            start = F.get(F.lit(starts).cast("array<long>"), F.col("__p"))
+            name = f"{m['next']:020d}-{uuid.uuid4().hex[:8]}"
+            path = f"{self._folder(stream)}/staged/{name}"
             out = placed.select((start + F.col("__i")).cast("bigint").alias("offset"), *RECORD)
             out.write.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", "100000").parquet(path)
         finally:
             placed.unpersist()
         segment = {
-            "path": path, "base": m["next"], "next": m["next"] + total, "bytes": self.files.size(path),
+            "path": f"{self._folder(stream)}/segments/{name}", "staged": path, "base": m["next"], "next": m["next"] + total, "bytes": self.files.size(path),
             "lo": min(r["lo"] for r in found).timestamp(), "hi": max(r["hi"] for r in found).timestamp(),
         }
         self._versions(stream).save(version, m | {"next": m["next"] + total, "segments": [*m["segments"], segment]})
+        self._place(segment)
         return m["next"], m["next"] + total
 
     def publish(self, stream: str, records: DataFrame, msg_id: str = "msg_id", now: Column | None = None) -> DataFrame:
@@ -182,13 +209,16 @@ class Log:
         return out.where(F.col("offset") >= m["earliest"]) if any(s["base"] < m["earliest"] for s in segments) else out
 
     def read_stream(self, stream: str, **options: str) -> DataFrame:
-        """The stream as an unbounded table: segments as they come. Segments are found by file, so a stream that is
-        read this way should not be truncated meanwhile."""
+        """The stream as an unbounded table: committed segments as they come. Records that were truncated before the
+        call are left out; a query that runs meanwhile keeps what it has read."""
         self.create(stream)
+        _, m = self._manifest(stream)
         at = f"{self._folder(stream)}/segments"
-        if not self.files.exists(at):
+        if not self.files.names(at):
             self.spark.createDataFrame([], ENVELOPE).write.mode("overwrite").parquet(f"{at}/empty")
-        return self.spark.readStream.schema(ENVELOPE).options(**options).option("recursiveFileLookup", "true").parquet(at)
+        rows = self.spark.readStream.schema(ENVELOPE).options(**options).option("recursiveFileLookup", "true").parquet(at)
+        gone = [F.col("_metadata.file_path").contains(s["path"].rsplit("/", 1)[1]) & (F.col("offset") >= s["next"]) for s in m["segments"] if "full" in s]
+        return rows.where(~reduce(lambda x, y: x | y, gone)) if gone else rows
 
     def fetch(self, stream: str, offset: int, count: int, subject: str = "") -> DataFrame:
         """Up to `count` records from `offset` on whose subject matches, in order."""

@@ -84,19 +84,16 @@ class Continuous:
         mode = ("append" if statement.emit == "final" else "update") if grouped else "append"
 
         def write(batch: DataFrame, number: int) -> None:
-            if statement.kind == "materialized":
-                views.merge(target, batch.persist(), keys if keys is not None else self.keys(statement, batch) if grouped else [])
-                batch.unpersist()
-                return
-            # A batch that was written before a crash is not written again.
-            done = Versions(log.files, f"{self.engine.root}/queries/{query}/done")
-            version, state = done.load()
-            if state and state["batch"] >= number:
-                return
             rows = batch.persist()
-            log.append(target, from_rows(rows, target))
-            rows.unpersist()
-            done.save(version, {"batch": number})
+            try:
+                if statement.kind == "materialized":
+                    by = (keys if keys is not None else self.keys(statement, batch)) if grouped else None
+                    views.merge(target, rows, by, (query, number))
+                else:
+                    # The number is committed with the records: a batch that was written before a crash is not written again.
+                    log.append(target, from_rows(rows, target), mark=(query, number))
+            finally:
+                rows.unpersist()
 
         writer = frame.writeStream.outputMode(mode).queryName(query).option("checkpointLocation", f"{self.engine.root}/queries/{query}/checkpoint").foreachBatch(write)
         self._live[query] = writer.trigger(**(trigger or {"availableNow": True})).start()

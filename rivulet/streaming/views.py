@@ -39,39 +39,47 @@ class Views:
         return self._state(name)[1]["text"]
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._state(name)[1]["path"])
+        return self.spark.read.parquet(*self._state(name)[1]["paths"])
 
     def lookup(self, name: str, key: str, column: str | None = None) -> DataFrame:
         """The rows whose key column (the first one if not given) has the text `key`."""
         rows = self.read(name)
         return rows.where(F.col(f"`{column or rows.columns[0]}`").cast("string") == key)
 
-    def write(self, name: str, frame: DataFrame, text: str = "") -> None:
-        """A new snapshot; readers of the old one finish on it, the one before that goes."""
+    def write(self, name: str, frame: DataFrame, text: str = "", mark: tuple[str, int] | None = None, more: bool = False) -> None:
+        """A new snapshot, or with `more` further rows of the one that is there. Readers of an old snapshot finish on it,
+        the one before that goes. `mark`, a name and a growing number, is committed with the rows."""
         versions = self._versions(name)
         version, state = versions.load()
+        state = state or {}
         path = f"{self.root}/{name}/data-{uuid.uuid4().hex}"
         frame.write.parquet(path)
-        old = (state or {}).get("path")
-        versions.save(version, {"path": path, "before": old, "text": text or (state or {}).get("text", "")})
-        if state and state.get("before"):
-            self.log.files.delete(state["before"])
-
-    def merge(self, name: str, changes: DataFrame, keys: list[str]) -> None:
-        """Upsert: of each key the changed row if there is one. `changes` has one row for each key."""
+        old = state.get("paths", [])
+        new = {"paths": [*old, path], "before": state.get("before", [])} if more else {"paths": [path], "before": old}
+        marks = state.get("marks", {}) | ({mark[0]: mark[1]} if mark else {})
+        versions.save(version, new | {"text": text or state.get("text", ""), "marks": marks})
+        for gone in [] if more else state.get("before", []):
+            self.log.files.delete(gone)
+
+    def merge(self, name: str, changes: DataFrame, keys: list[str] | None, mark: tuple[str, int] | None = None) -> None:
+        """Take in a batch: without keys (None) its rows are further rows; with an empty list of keys, the one row of an
+        aggregate of all, they replace what there is; else of each key the changed row if there is one, `changes` having
+        one row for each key. A batch whose mark was committed does nothing."""
         if not self.exists(name):
-            self.write(name, changes)
+            self.write(name, changes, mark=mark)
+            return
+        if mark and self._state(name)[1].get("marks", {}).get(mark[0], -1) >= mark[1]:
             return
-        if not keys:
-            if changes.limit(1).count():
-                self.write(name, changes)
+        if keys is None or not keys:
+            if keys is None or changes.limit(1).count():
+                self.write(name, changes, mark=mark, more=keys is None)
             return
         old = self.read(name)
         same = [old[k].eqNullSafe(changes[k]) for k in keys]
         cond = same[0]
         for s in same[1:]:
             cond = cond & s
-        self.write(name, old.join(changes, cond, "left_anti").unionByName(changes))
+        self.write(name, old.join(changes, cond, "left_anti").unionByName(changes), mark=mark)
 
     def drop(self, name: str) -> None:
         self.log.files.delete(f"{self.root}/{valid_name(name)}")

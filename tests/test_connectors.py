@@ -136,3 +136,43 @@ def test_typed_jdbc_sink(spark):
         raise RuntimeError("connection lost (SQLSTATE: 08006)")
 
     assert R.JdbcSink(spark, {"table": "t"}, save=fails).write(stream(spark, ["{}"]))[2] is Outcome.TRANSIENT
+
+
+@pytest.mark.parametrize("mode", ["upsert", "insert"])
+def test_jdbc_sink_moves_staged_rows(spark, mode):
+    """A database behind `save` and `execute`: a batch that is sent again, or that repeats keys, loses nothing."""
+    import sqlite3
+
+    db = sqlite3.connect(":memory:", check_same_thread=False)
+
+    def save(rows, table):
+        names = rows.columns
+        db.executemany(f"INSERT INTO {table} ({', '.join(names)}) VALUES ({', '.join('?' * len(names))})", [tuple(r) for r in rows.collect()])
+
+    settings = {"table": "t", "schema": "id:bigint,name:text?", "key": "id", "database": "sqlite", "mode": mode}
+    sink = R.JdbcSink(spark, settings, db.execute, save)
+    assert sink.write(stream(spark, ['{"id": 1, "name": "a"}', '{"id": 2, "name": "b"}']))[::2] == (2, Outcome.SUCCESS)
+    good, bad, outcome, _ = sink.write(stream(spark, ['{"id": 2, "name": "new"}', '{"id": 3, "name": "old"}', '{"id": 3, "name": "c"}', '{"id": "x"}']))
+    assert (good, bad.count(), outcome) == (3, 1, Outcome.POISON)
+    assert sorted(db.execute("SELECT id, name FROM t")) == [(1, "a"), (2, "new" if mode == "upsert" else "b"), (3, "c")]
+    assert [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")] == ["t"]
+
+
+def test_jdbc_sink_without_sql_sends_refused_batches_to_the_dead_letters(spark):
+    def refuses(rows, table):
+        raise RuntimeError("duplicate key (SQLSTATE: 23505)")
+
+    good, bad, outcome, _ = R.JdbcSink(spark, {"table": "t"}, save=refuses).write(stream(spark, ["{}", "{}"]))
+    assert (good, bad.count(), outcome, bad.first()["reason"]) == (0, 2, Outcome.POISON, "duplicate")
+
+
+def test_capture_tables_have_binary_positions(spark, tmp_path):
+    rows = [(bytes([0] * 9 + [k]), 2, k, f"n{k}") for k in (1, 5, 200)]
+    path = str(tmp_path / "c")
+    spark.createDataFrame(rows, "`__$start_lsn` binary, `__$operation` int, id long, name string").write.parquet(path)
+    source = R.CaptureTable(spark, {"url": path, "table": "people", "batch_size": 2})
+    first, cursor = source.poll(None)
+    assert first.count() == 2 and cursor == "0" * 18 + "05"
+    rest, cursor = source.poll(cursor)
+    assert [json.loads(r["payload"])["id"] for r in rest.collect()] == [200] and cursor.endswith("C8")
+    assert source.poll(cursor) == (None, cursor)

@@ -105,3 +105,26 @@ def test_consumers(log, spark):
     assert Consumer(log, "late", "s", start="latest").offset == 10 and Consumer(log, "at", "s", start="2023-11-14 22:13:25").offset == 5
     members = routed(log.read("s"), 3).groupBy("key").agg(F.countDistinct("member").alias("n")).where("n > 1").count()
     assert members == 0
+
+
+def test_an_append_is_whole_or_not_there(spark, tmp_path):
+    log = Log(spark, str(tmp_path))
+    rows = spark.range(10).select(F.col("id").cast("string").alias("payload"))
+    log.append("s", rows)
+    # The writer dies before the commit: the next one starts where the last commit ended.
+    place, save = log._place, log._versions
+    log._place = lambda segment: None
+    log.append("s", rows)  # committed, but not moved to its place
+    log._place = place
+    assert len(log.files.names(f"{tmp_path}/streams/s/segments")) == 1
+    other = Log(spark, str(tmp_path))
+    assert other.read("s").count() == 20 and other.bounds("s") == (0, 20)
+    assert len(log.files.names(f"{tmp_path}/streams/s/segments")) == 2 and save("s").load()[0] > 0
+
+
+def test_a_marked_append_happens_once(spark, tmp_path):
+    log = Log(spark, str(tmp_path))
+    rows = spark.range(3).select(F.col("id").cast("string").alias("payload"))
+    assert log.append("s", rows, mark=("q", 0)) == (0, 3) and log.append("s", rows, mark=("q", 0)) == (3, 3)
+    assert log.append("s", rows.limit(0), mark=("q", 1)) == (3, 3) and log.marked("s", "q") == 1
+    assert log.append("s", rows, mark=("q", 2)) == (3, 6) and log.append("s", rows, mark=("r", 0)) == (6, 9)

@@ -17,6 +17,8 @@ from rivulet.sources.log import Log, StreamConfig, valid_name
 from rivulet.streaming.continuous import Continuous
 from rivulet.streaming.views import Views
 
+#: Hits of an index that are sought by offset; more are joined.
+SOUGHT = 1000
 #: Rows that an API answer holds where the query sets no limit of its own.
 RESULT_CAP = 10_000
 _DRIVERS = {"postgres": "org.postgresql.Driver", "postgresql": "org.postgresql.Driver", "mssql": "com.microsoft.sqlserver.jdbc.SQLServerDriver", "sqlserver": "com.microsoft.sqlserver.jdbc.SQLServerDriver", "mysql": "com.mysql.cj.jdbc.Driver", "sqlite": "org.sqlite.JDBC"}
@@ -77,7 +79,19 @@ class Engine:
             return self.spark.read.parquet(f"{url.rstrip('/')}/{table}.parquet")
         return self.spark.read.format("jdbc").option("driver", _DRIVERS[driver]).options(**options).option("url", url if url.startswith("jdbc:") else f"jdbc:{url}").option("dbtable", table).load()
 
-    def _table(self, temp: dict[str, DataFrame], stream: bool = False) -> Callable[[tuple[str, ...]], str]:
+    def _narrowed(self, sql: str) -> dict[str, DataFrame]:
+        """The stream of a query whose WHERE an index can serve, cut down to the index's hits: {name: records}."""
+        known = self._indexes.load()[1]
+        asked = dialect.field_equals(sql) if known else None
+        if asked is None or asked[0].lower() in self._relations or self.views.exists(asked[0]):
+            return {}
+        for one in known.values():
+            value = asked[1].get(tuple(one["path"]))
+            if one["stream"] == asked[0] and value is not None:
+                return {asked[0]: self._hits(one, value)}
+        return {}
+
+    def _table(self, temp: dict[str, DataFrame], stream: bool = False, narrowed: dict[str, DataFrame] | None = None) -> Callable[[tuple[str, ...]], str]:
         """Gives each relation of a query a temporary view of its own and returns the view's name."""
 
         def find(name: tuple[str, ...]) -> str:
@@ -89,7 +103,7 @@ class Engine:
                 held = self._relations.get(".".join(name).lower())
                 frame = held() if held else self.external(*name)
             elif len(name) == 1:
-                frame = self.continuous.source(name[0]) if stream else self.relation(name[0])
+                frame = self.continuous.source(name[0]) if stream else (narrowed or {}).get(name[0]) or self.relation(name[0])
             else:
                 raise PlanError(f"no relation {'.'.join(name)!r}")
             view = f"rivulet_{uuid.uuid4().hex}"
@@ -103,7 +117,8 @@ class Engine:
         """The statement and, for those with a query, its DataFrame."""
         temp: dict[str, DataFrame] = {}
         try:
-            statement = dialect.parse(sql, table or self._table(temp, streaming), streaming)
+            narrowed = {} if streaming or table else self._narrowed(sql)
+            statement = dialect.parse(sql, table or self._table(temp, streaming, narrowed), streaming)
             frame = None
             if statement.sql:
                 with translated():
@@ -144,6 +159,9 @@ class Engine:
             return self.create_index(statement.name, statement.stream, *statement.path)
         if statement.kind == "drop_index":
             return self.drop_index(statement.name)
+        for name, one in (self._indexes.load()[1] or {}).items():
+            if one["stream"] == statement.name:
+                self.drop_index(name)
         return self.log.delete(statement.name)
 
     # -- streams ------------------------------------------------------------------------------------------------
@@ -177,9 +195,13 @@ class Engine:
         at = f"{self.root}/index/{valid_name(name)}-{uuid.uuid4().hex[:8]}"
         upto = self.log.bounds(stream)[1]
         self._index_rows(stream, path, 0, upto).write.parquet(at)
-        self._indexes.save(version, (known or {}) | {name: {"stream": stream, "path": list(path), "at": at, "upto": upto}})
+        self._indexes.save(version, (known or {}) | {name: {"stream": stream, "path": list(path), "at": at, "upto": upto, "cuts": len(self.log.cuts(stream))}})
         return name
 
+    def _upto(self, one: dict) -> int:
+        """Where an index ends: records that came after a truncation are not in it."""
+        return min([one["upto"], *self.log.cuts(one["stream"])[one["cuts"] :]])
+
     def _index_rows(self, stream: str, path: tuple[str, ...], first: int, upto: int) -> DataFrame:
         value = F.get_json_object("payload", dialect.json_path(*path))
         rows = self.log.read(stream).where((F.col("offset") >= first) & (F.col("offset") < upto)).select(value.alias("value"), "offset")
@@ -190,8 +212,8 @@ class Engine:
         version, known = self._indexes.load()
         one = known[name]
         upto = self.log.bounds(one["stream"])[1]
-        self._index_rows(one["stream"], tuple(one["path"]), one["upto"], upto).write.mode("append").parquet(one["at"])
-        self._indexes.save(version, known | {name: one | {"upto": upto}})
+        self._index_rows(one["stream"], tuple(one["path"]), self._upto(one), upto).write.mode("append").parquet(one["at"])
+        self._indexes.save(version, known | {name: one | {"upto": upto, "cuts": len(self.log.cuts(one["stream"]))}})
 
     def drop_index(self, name: str) -> None:
         version, known = self._indexes.load()
@@ -206,11 +228,19 @@ class Engine:
         one = (self._indexes.load()[1] or {}).get(name)
         if one is None:
             raise StorageError(f"no index {name!r}")
-        rows = self.log.read(one["stream"])
         match = F.get_json_object("payload", dialect.json_path(*one["path"])) == value
+        return self._hits(one, value).where(match)
+
+    def _hits(self, one: dict, value: str) -> DataFrame:
+        """The records that an index names for a value, and those that came after it. Few are sought by their offsets,
+        which the statistics of the segments' row groups know; more are joined, by offsets alone."""
+        rows = self.log.read(one["stream"])
         hits = self.spark.read.parquet(one["at"]).where(F.col("value") == value).select(F.col("offset").alias("__o"))
-        old = rows.where(F.col("offset") < one["upto"]).join(hits, F.col("offset") == F.col("__o"), "left_semi").where(match)
-        return old.unionByName(rows.where((F.col("offset") >= one["upto"]) & match))
+        few = [r[0] for r in hits.limit(SOUGHT + 1).collect()]
+        later = F.col("offset") >= self._upto(one)
+        if len(few) <= SOUGHT:
+            return rows.where(F.col("offset").isin(few) | later)
+        return rows.where(~later).join(hits, F.col("offset") == F.col("__o"), "left_semi").unionByName(rows.where(later))
 
     def answer(self, text: str) -> str:
         """`query`, or the error as it goes to a client, as JSON."""

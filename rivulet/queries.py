@@ -419,3 +419,13 @@ def grouped_view_two_batches(spark: SparkSession, d: str) -> DataFrame:
     e.publish("s", rest, order=["o"])
     e.continuous.wait(e.continuous.resume(q))
     return e.sql("SELECT type, n FROM m")
+
+
+@_op("SELECT event_id AS id, CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type = 'purchase' AND value > 50")
+def index_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The index serves the first half by offsets; what came after it is scanned."""
+    e, first, rest = _halves(spark, d)
+    e.publish("s", first, order=["o"])
+    e.execute("CREATE INDEX by_type ON s(payload->>'type')")
+    e.publish("s", rest, order=["o"])
+    return e.sql("SELECT (payload->>'id')::BIGINT AS id, key FROM s WHERE payload->>'type' = 'purchase' AND (payload->>'value')::numeric > 50")

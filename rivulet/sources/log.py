@@ -229,6 +229,10 @@ class Log:
         """The last `count` records, newest first."""
         return self.read(stream).orderBy(F.desc("offset")).limit(count)
 
+    def cuts(self, stream: str) -> list[int]:
+        """The offsets at which the stream was truncated, in turn."""
+        return self._manifest(stream)[1].get("cuts", [])
+
     def seek(self, stream: str, at: Column) -> int:
         """The first offset whose time is `at` or later; the next offset if there is none."""
         found = self.read(stream).where(F.col("timestamp") >= at).agg(F.min("offset")).first()[0]
@@ -250,7 +254,7 @@ class Log:
         if not m["earliest"] <= at <= m["next"]:
             raise StorageError(f"offset {at} is outside {m['earliest']} to {m['next']}")
         kept = [s if s["next"] <= at else s | {"next": at, "full": s["next"]} for s in m["segments"] if s["base"] < at]
-        self._versions(stream).save(version, m | {"next": at, "segments": kept})
+        self._versions(stream).save(version, m | {"next": at, "segments": kept, "cuts": [*m.get("cuts", []), at]})
         for s in m["segments"]:
             if s["base"] >= at:
                 self.files.delete(s["path"])

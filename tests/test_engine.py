@@ -145,3 +145,43 @@ def test_continuous_rejects_what_has_no_meaning(engine):
     engine.register("static", engine.spark.range(3))
     with pytest.raises(PlanError):
         engine.continuous.create("CREATE VIEW v AS SELECT id FROM static")
+
+
+def test_sql_uses_an_index(engine, spark):
+    text = "SELECT key FROM orders o WHERE o.payload->>'region' = 'eu' AND payload->>'total' > 100 ORDER BY offset"
+    plain = rows(engine, text)
+    engine.execute("CREATE INDEX by_region ON orders(payload->>'region')")
+    plan = lambda t: engine.sql(t)._jdf.queryExecution().executedPlan().toString()
+    assert rows(engine, text) == plain and len(plain) == 2
+    # Offsets reach the scan; records after the index are sought by their offsets as well.
+    assert "In(offset, [0,2,4])" in plan(text) and "GreaterThanOrEqual(offset,5)" in plan(text)
+    engine.publish("orders", orders(spark, 5, 5))
+    assert len(rows(engine, text)) == len(plain) + len([k for k in range(5, 10) if k % 2 == 0])
+    for other in ("SELECT key FROM orders WHERE payload->>'region' = 'eu' OR key = 'ord-1'", "SELECT key FROM orders WHERE NOT payload->>'region' = 'eu'", "SELECT key FROM orders WHERE payload->>'region' IN ('eu')"):
+        assert "In(offset" not in plan(other)
+    assert sorted(rows(engine, "SELECT key FROM orders WHERE payload->>'region' = 'eu' OR key = 'ord-1'"))[1] == ("ord-1",)
+
+
+def test_many_hits_of_an_index_are_joined(engine, monkeypatch):
+    from rivulet.plans import engine as module
+
+    text = "SELECT key FROM orders WHERE 'eu' = payload->>'region' ORDER BY offset"
+    plain = rows(engine, text)
+    engine.execute("CREATE INDEX by_region ON orders(payload->>'region')")
+    monkeypatch.setattr(module, "SOUGHT", 2)
+    assert rows(engine, text) == plain and "LeftSemi" in engine.sql(text)._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["offset"] for r in engine.index_lookup("by_region", "eu").collect()) == [0, 2, 4]
+
+
+def test_an_index_knows_of_truncations(engine, spark):
+    text = "SELECT key FROM orders WHERE payload->>'region' = 'us' ORDER BY offset"
+    engine.execute("CREATE INDEX by_region ON orders(payload->>'region')")
+    engine.log.truncate("orders", 2)
+    engine.publish("orders", orders(spark, 5, 7))  # now us stands at other offsets
+    want = sorted(r["key"] for r in engine.relation("orders").where("get_json_object(payload, '$.region') = 'us'").collect())
+    assert sorted(r[0] for r in rows(engine, text)) == want
+    engine.refresh_index("by_region")
+    assert sorted(r[0] for r in rows(engine, text)) == want
+    engine.execute("DROP STREAM orders")
+    with pytest.raises(StorageError):
+        engine.index_lookup("by_region", "us")

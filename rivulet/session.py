@@ -7,6 +7,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from rivulet.errors import StorageError
+
 
 def session(app: str = "rivulet", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution. Cluster settings win over these where they are given."""
@@ -24,8 +26,10 @@ def session(app: str = "rivulet", master: str | None = None, **conf: str) -> Spa
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder that the cluster names; a local one only where none is set."""
+    """The shared checkpoint folder that the cluster names; a local one only where none is set and all runs on one machine."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local[") and context.master != "local":
+            raise StorageError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/rivulet-checkpoints")
     return context.getCheckpointDir()

@@ -133,7 +133,7 @@ _sql("group_by_alias_ordinal", "SELECT SUBJECT_PART(subject, 2) AS part, key, CO
 _sql("select_distinct", "SELECT DISTINCT payload->>'type' AS type, key FROM events", f"SELECT DISTINCT type, key FROM {_EV}")
 # -- time -----------------------------------------------------------------------------------------------------------
 _sql("time_range", "SELECT offset FROM events WHERE timestamp >= TIMESTAMP '2024-01-10 00:00:00' AND timestamp < TIMESTAMP '2024-01-10 00:00:00' + INTERVAL '2 days'", "SELECT event_id AS \"offset\" FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'")
-_sql("time_now_interval", "SELECT COUNT(*) AS n FROM events WHERE timestamp > NOW() - INTERVAL '1 hour'", "SELECT count(*) AS n FROM events WHERE ts > CAST(now() AS TIMESTAMP) - INTERVAL 1 HOUR")
+_sql("time_now_interval", "SELECT offset FROM events WHERE timestamp + INTERVAL '1 hour' < NOW()", "SELECT event_id AS \"offset\" FROM events WHERE ts + INTERVAL 1 HOUR < CAST(now() AS TIMESTAMP)")
 _sql("tumbling_count", "SELECT unix_micros(TUMBLING(timestamp, '1 hour')) AS w, COUNT(*) AS n FROM events GROUP BY TUMBLING(timestamp, '1 hour')", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS w, count(*) AS n FROM events GROUP BY 1")
 _sql("tumbling_by_key", "SELECT unix_micros(win) AS w, type, n, s FROM (SELECT TUMBLE(timestamp, INTERVAL '1 day') AS win, payload->>'type' AS type, COUNT(*) AS n, ROUND(SUM(payload->>'value'), 2) AS s FROM events GROUP BY win, type) t",
      "SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS w, event_type AS type, count(*) AS n, round(sum(value), 2) AS s FROM events GROUP BY 1, 2")
@@ -226,13 +226,12 @@ def trim_truncate(spark: SparkSession, d: str) -> DataFrame:
     return e.sql("SELECT COUNT(*) AS n, MIN(offset) AS lo, MAX(offset) AS hi FROM log")
 
 
-@_op("WITH d AS (SELECT event_id % 700 AS id, event_id, event_type || CASE WHEN event_id % 3 = 0 THEN 'x' ELSE '' END AS body FROM events), f AS (SELECT id, arg_min(body, event_id) AS first, min(event_id) AS m FROM d GROUP BY id) SELECT CASE WHEN event_id = m THEN 'written' WHEN body = first THEN 'duplicate' ELSE 'collision' END AS status, count(*) AS n FROM d JOIN f USING (id) GROUP BY 1")
+@_op("WITH d AS (SELECT event_id % 700 AS id, event_id, event_type || CASE WHEN event_id % 3 = 0 THEN 'x' ELSE '' END AS body FROM events), f AS (SELECT id, arg_min(body, event_id) AS first, min(event_id) AS m, row_number() OVER (ORDER BY min(event_id)) - 1 AS o FROM d GROUP BY id) SELECT CAST(id AS VARCHAR) AS msg_id, CASE WHEN event_id = m THEN 'written' WHEN body = first THEN 'duplicate' ELSE 'collision' END AS status, o AS \"offset\" FROM d JOIN f USING (id)")
 def publish_dedup(spark: SparkSession, d: str) -> DataFrame:
     e = engine(spark, d)
     body = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, "x").otherwise(""))
     rows = _table(spark, d, "events").select((F.col("event_id") % 700).cast("string").alias("msg_id"), body.alias("payload"), F.timestamp_micros(F.col("event_id")).alias("timestamp"))
-    out = e.log.publish("pub", rows)
-    return out.groupBy("status").agg(F.count("*").alias("n"))
+    return e.log.publish("pub", rows).select("msg_id", "status", "offset")
 
 
 @_op(f"SELECT \"offset\", CAST(user_id AS VARCHAR) AS key FROM {_DENSE} WHERE k = 42")
@@ -272,17 +271,18 @@ def typed_sink_validation(spark: SparkSession, d: str) -> DataFrame:
     return out.select("offset", "customer_id", "total", "note", F.col("error"))
 
 
-@_op("SELECT count(*) AS n, count(DISTINCT o_custkey) AS k FROM (SELECT DISTINCT o_custkey FROM orders)")
+@_op("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS key FROM orders")
 def connector_dedup(spark: SparkSession, d: str) -> DataFrame:
-    out = dedup(engine(spark, d).relation("orders"))
-    return out.agg(F.count("*").alias("n"), F.countDistinct("key").alias("k"))
+    return dedup(engine(spark, d).relation("orders")).select("key")
 
 
-@_op("SELECT count(*) AS n, count(DISTINCT strftime(o_orderdate, '%Y/%m/%d/%H')) AS folders FROM orders")
+@_op("SELECT CAST(o_custkey AS VARCHAR) AS key, strftime(o_orderdate, '%Y/%m/%d/%H') AS folder, epoch_us(o_orderdate) AS at, o_orderstatus AS status, o_totalprice AS total FROM orders")
 def ndjson_sink(spark: SparkSession, d: str) -> DataFrame:
     path = f"{_root(spark)}/ndjson"
     write_ndjson(engine(spark, d).relation("orders"), path)
-    return read_ndjson(spark, path).agg(F.count("*").alias("n"), F.countDistinct(F.concat_ws("/", "year", "month", "day", "hour")).alias("folders"))
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    folder = F.concat_ws("/", "year", "month", "day", "hour").alias("folder")
+    return read_ndjson(spark, path).select("key", folder, F.unix_micros("timestamp").alias("at"), field("status").alias("status"), field("total").cast("double").alias("total"))
 
 
 @_op("SELECT 'rejected' AS reason, count(*) AS n FROM orders WHERE o_totalprice > 300000")

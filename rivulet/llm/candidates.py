@@ -35,7 +35,8 @@ def _shared(keyed: DataFrame) -> DataFrame:
 def linked(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows (node, component) for the nodes (longs) of `keyed` (key, node: longs) that link with another one.
 
-    `verify` gets pairs (a, b) and returns those that link. First each node of a key is verified against the smallest
+    `keyed` should come from rows that are cut: Spark takes expanded rows to be as large as what an exchange below them
+    brought, and would broadcast them. `verify` gets pairs (a, b) and returns those that link. First each node of a key is verified against the smallest
     and the largest node of the key, which joins nearly all of a group of copies at a cost in proportion to the rows.
     Then the nodes that are still in another component than their key's smallest are verified against all nodes of
     the key outside their own component, so no link between two rows of a key is lost.

@@ -150,7 +150,8 @@ def linked_components(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the keys find links of at most 3 bits")
-    keyed = _keyed(fps)
+    # Spark takes an expanded table to be as large as what it came from; cut rows have no estimate to go by.
+    keyed = _keyed(cut(fps.select("fp")))
     ends = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where(F.col("lo") != F.col("hi"))
     shared = cut(keyed.join(unplaced(ends, "key"), "key").select("key", "fp", "lo", "hi"))
     stars = F.array(F.col("lo"), F.col("hi"))

@@ -36,3 +36,15 @@ def odd(frame):
 @pytest.fixture
 def no_documents(frame):
     return frame([], "doc_id long, text string, lang string, source string")
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Tables that Spark takes to be small are broadcast, and one that turns out to be much larger is an error. A page of a hash table alone is 32 MB here."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "1m", "spark.sql.maxBroadcastTableSize": "40m"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)

@@ -82,6 +82,12 @@ def test_linked_components_against_brute_force(spark, rng):
             assert (got[signed[i]] == got[signed[j]]) == (want[i] == want[j])
 
 
+def test_keys_are_not_broadcast_by_the_size_of_their_fingerprints(spark, small_broadcasts):
+    fps = spark.range(0, 30_000, 1, 4).selectExpr("xxhash64(id div 2) ^ (id % 2) AS fp").distinct()
+    out = simhash.linked_components(fps)
+    assert (out.count(), out.select("component").distinct().count()) == (30_000, 15_000)
+
+
 def test_near_duplicates_of_odd_rows(odd, no_documents):
     out = simhash.near_duplicates(odd).collect()
     texts = [(r["doc_id"], r["text"]) for r in odd.collect()]

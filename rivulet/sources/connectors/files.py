@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def write_ndjson(rows: DataFrame, path: str, flush_records: int = 1000) -> None:
     """One JSON object a record (offset, timestamp, subject, key, value, headers) under year/month/day/hour folders,
-    at most `flush_records` to a file. Rows are dealt by hour and spread inside an hour, so that one busy hour is
-    not one task's."""
+    at most `flush_records` to a file. Rows are ranged by hour and offset: an hour's records are together, so files
+    are as few as the records ask for, and a busy hour is cut by offset, so that it is not one task's."""
     parts = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
     out = rows.select(
         "offset", F.unix_micros("timestamp").alias("timestamp"), "subject", "key", F.col("payload").alias("value"), "headers",
         *[F.date_format("timestamp", p).alias(n) for n, p in parts.items()],
     )
-    spread = out.withColumn("__s", F.floor(F.col("offset") / (flush_records * 64))).repartition("year", "month", "day", "hour", "__s").drop("__s")
+    spread = out.repartitionByRange("year", "month", "day", "hour", "offset")
     spread.write.mode("append").partitionBy(*parts).option("maxRecordsPerFile", flush_records).json(path)
 
 

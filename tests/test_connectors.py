@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.errors import ParseError, PlanError
-from rivulet.sources.connectors import dedup, fill_key, load_config, transform
+from rivulet.sources.connectors import dedup, fill_key, load_config, read_ndjson, transform, write_ndjson
 from rivulet.sources.connectors import registry as R
 from rivulet.sources.connectors import schema, sql
 from rivulet.sources.connectors.pipeline import Exhausted, Outcome, Retry, SinkRunner, SourceRunner
@@ -176,3 +176,23 @@ def test_capture_tables_have_binary_positions(spark, tmp_path):
     rest, cursor = source.poll(cursor)
     assert [json.loads(r["payload"])["id"] for r in rest.collect()] == [200] and cursor.endswith("C8")
     assert source.poll(cursor) == (None, cursor)
+
+
+def test_ndjson_files_follow_the_records(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 2000, 1, 4).selectExpr("id * 64000 AS offset", "timestamp_seconds((id % 20) * 3600) AS at", "'p' AS p")
+        calm = to_stream(rows, offset="offset", timestamp="at", key="offset", payload="p")
+        busy = calm.withColumn("timestamp", F.timestamp_seconds(F.lit(0)))
+        for name, records, hours in (("calm", calm, 20), ("busy", busy, 1)):
+            at = str(tmp_path / name)
+            write_ndjson(records, at, 100)
+            files = list((tmp_path / name).rglob("*.json"))
+            # An hour's last file may be short, and a task may end inside an hour.
+            assert len(files) <= max(hours, 2000 // 100) + 4
+            assert all(len(f.read_text().splitlines()) <= 100 for f in files)
+            got, want = read_ndjson(spark, at).select(records.columns), records
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert len({f.name.split("-")[1] for f in files}) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -55,7 +55,8 @@ def drop_frequent_lines(
     salted = frequent.select("__h1", "__h2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__s"))
     lines = _lines(docs, text, doc_id).where(F.col("__n") >= min_chars)
     lines = lines.withColumn("__s", F.pmod(F.hash("__id", "__th", "__pos"), F.lit(salts)))
-    hit = lines.join(salted, ["__h1", "__h2", "__s"]).groupBy("__id", "__th").agg(F.sort_array(F.collect_set("__pos")).alias("__drop"))
+    # Spark takes `salted` to be as large as `frequent` and might broadcast what is `salts` times that.
+    hit = lines.join(salted.hint("merge"), ["__h1", "__h2", "__s"]).groupBy("__id", "__th").agg(F.sort_array(F.collect_set("__pos")).alias("__drop"))
     base = docs.withColumns({"__t": F.coalesce(F.col(text), F.lit("")), "__id": F.col(doc_id)}).withColumn("__th", F.xxhash64("__t"))
     hit = hit.select(F.col("__id").alias("__hid"), F.col("__th").alias("__hth"), "__drop")
     out = base.join(hit, base["__id"].eqNullSafe(hit["__hid"]) & (base["__th"] == hit["__hth"]), "left")

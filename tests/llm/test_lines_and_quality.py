@@ -104,3 +104,9 @@ def test_columns_with_clashing_names(frame):
     docs = frame([(1, "a b c", "mine", 7)], "doc_id long, text string, kept string, n_words int")
     (row,) = quality.assess(docs).collect()
     assert row["kept"] is False and row["n_words"] == 3 and sorted(row.asDict()) == sorted([*docs.columns, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "kept_share", "base_failed"])
+
+
+def test_salted_keys_are_not_broadcast_by_the_size_of_the_keys(spark, small_broadcasts):
+    docs = spark.range(0, 400, 1, 4).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 99), x -> concat('line ', (id div 2) * 100 + x)), '\\n') AS text")
+    out = linededup.drop_frequent_lines(docs, min_docs=2).agg(F.sum("n_lines"), F.sum("n_dropped")).first()
+    assert tuple(out) == (40_000, 40_000)

@@ -127,7 +127,9 @@ def _counted(units: DataFrame, labels: DataFrame, least: float, block: int, fine
     members = unplaced(units, "node").join(unplaced(labels, "n"), F.col("node") == F.col("n")).select("node", "c", "v", "times")
     members = cut(members)
     # Each size stands under several sub-keys, over which the members of a large component are spread.
-    sizes = members.groupBy("c").agg(F.count("*").alias("m")).select(F.col("c").alias("k"), F.ceil(F.col("m") / block).alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("s"))
+    # They are cut before, as Spark would take the table under its sub-keys to be as large as the one without.
+    sizes = cut(members.groupBy("c").agg(F.count("*").alias("m")).select(F.col("c").alias("k"), F.ceil(F.col("m") / block).alias("nb")))
+    sizes = sizes.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(15))))
     same = (F.col("c") == F.col("k")) & (F.pmod(F.hash("node"), F.lit(16)) == F.col("s"))
     dealt = members.join(sizes, same).select("node", "c", "v", "times", F.col("nb").cast("int").alias("nb"))
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int"))

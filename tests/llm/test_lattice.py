@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from rivulet.llm import lattice
+from rivulet.llm.common import cut
 
 
 def test_roots_and_nearest_points(rng):
@@ -105,3 +106,13 @@ def test_vectors_of_one_direction(spark):
     assert {r["component_id"] for r in rows.values()} == {0}
     # Rows of one id that are longer are vectors of the same direction, and so are the same row.
     assert {rows[k]["n_links"] for k in range(300)} == {302}
+
+
+def test_sizes_are_cut_before_they_stand_under_sub_keys(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(lattice, "cut", lambda df: sent.append(df) or cut(df))
+    units = spark.createDataFrame([(k, [1.0, 0.0], 1) for k in range(8)], "node long, v array<double>, times long")
+    labels = spark.createDataFrame([(k, k // 2) for k in range(8)], "n long, c long")
+    out = lattice._counted(units, labels, 0.95, 128, 1e-12)
+    assert {(r["node"], r["n_links"]) for r in out.collect()} == {(k, 1) for k in range(8)}
+    assert any(df.columns == ["k", "nb"] for df in sent)
